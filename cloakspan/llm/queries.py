@@ -6,7 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, license_scan
+from . import decontaminate, license_scan, packing, token_output
+from .shared import new_folder
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,13 +24,24 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(_table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the shards and reads them back: a row per sequence, with its slot and its place in the shards."""
+    folder = new_folder(spark, "shards")
+    n = token_output.write_shards(_table(spark, sf_dir, "documents"), tokenizer_path(), folder)
+    return token_output.read_shards(spark, folder, n).drop("ids")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pairs of a document and a benchmark item that overlap; what is in none is clean."""
     return decontaminate.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("text_hash")
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op5_decontamination)}
+    return {f.__name__: f for f in (op1_license_scan, op2_token_output, op5_decontamination, op8_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
