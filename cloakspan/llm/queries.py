@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, license_scan, packing, token_output
+from . import decontaminate, license_scan, packing, substring_dedup, token_output
 from .shared import new_folder
 
 
@@ -40,8 +40,12 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_token_output, op5_decontamination, op8_packing)}
+    return {f.__name__: f for f in (op1_license_scan, op2_token_output, op5_decontamination, op8_packing, op9_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
