@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, license_scan, packing, substring_dedup, token_output
+from . import decontaminate, license_scan, near_dedup, packing, substring_dedup, token_output
 from .shared import new_folder
 
 
@@ -31,6 +31,11 @@ def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read_shards(spark, folder, n).drop("ids")
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """On two-word shingles."""
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), k=2).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pairs of a document and a benchmark item that overlap; what is in none is clean."""
     return decontaminate.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("text_hash")
@@ -45,7 +50,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_token_output, op5_decontamination, op8_packing, op9_substring_dedup)}
+    return {f.__name__: f for f in (op1_license_scan, op2_token_output, op4_near_dedup, op5_decontamination, op8_packing, op9_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
