@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, license_scan, near_dedup, packing, quality, substring_dedup, token_output, toxicity
+from . import decontaminate, license_scan, media, near_dedup, packing, quality, substring_dedup, token_output, toxicity
 from .shared import new_folder
 
 
@@ -49,6 +49,10 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(_table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -58,7 +62,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_token_output, op4_near_dedup, op5_decontamination, op7_quality, op8_packing, op9_substring_dedup, op10_toxicity)}
+    return {f.__name__: f for f in (op1_license_scan, op2_token_output, op4_near_dedup, op5_decontamination, op6_media, op7_quality, op8_packing, op9_substring_dedup, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

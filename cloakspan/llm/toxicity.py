@@ -62,7 +62,7 @@ def _swaps(words: list[str]) -> list[tuple[str, str]]:
     return [(t, o) for t in words if t in TERMS for o in IDENTITY_TERMS[TERMS[t]] if o != t]
 
 
-def fit(rows: list[tuple[set[str], int]], fair: float = 50.0, l1: float = 2e-4, steps: int = 400, least: float = 1.5) -> ToxicityModel:
+def fit(rows: list[tuple[set[str], int]], fair: float = 50.0, l1: float = 2e-4, steps: int = 800, least: float = 1.5) -> ToxicityModel:
     """rows: the words and the label of each text. fair: the weight of the squared score changes under swaps.
 
     The L1 penalty is l1, or as much as `least` texts weigh if that is more. Words that speak for toxicity are taken,
@@ -81,7 +81,7 @@ def fit(rows: list[tuple[set[str], int]], fair: float = 50.0, l1: float = 2e-4,
     l1 = max(l1, least / len(rows))
     seen = [w for w in toxic.keys() | other.keys() if toxic[w] + other[w] >= 5]
     odds = {w: (np.log((toxic[w] + 0.5) / (n1 + 1)) - np.log((other[w] + 0.5) / (n0 + 1))) / np.sqrt(1 / (toxic[w] + 0.5) + 1 / (other[w] + 0.5)) for w in seen}
-    strong = sorted((w for w in seen if odds[w] > 2), key=lambda w: (-odds[w], w))[:FEATURES]
+    strong = sorted((w for w in seen if odds[w] > 3), key=lambda w: (-odds[w], w))[:FEATURES]
     chosen = sorted({*strong, *(t for t in TERMS if t in odds)})
     at = {w: k for k, w in enumerate(chosen)}
     x, y = np.zeros((len(rows), len(chosen)), np.float32), np.array([y for _, y in rows], np.float32)
