@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import new_folder, release
+from .shared import new_folder, release, small_enough
 from .tokens import encoder
 
 
@@ -57,7 +57,7 @@ def _open(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def write_shards(docs: DataFrame, tokenizer: str, folder: str, stride: int = 256, per_shard: int = 16_384, key: int = 20_240_229, end_id: int = 0, rounds: int = 2, id_col: str = "doc_id", text_col: str = "text") -> int:
+def write_shards(docs: DataFrame, tokenizer: str, folder: str, stride: int = 256, per_shard: int = 16_384, key: int = 20_240_229, end_id: int = 0, rounds: int = 4, id_col: str = "doc_id", text_col: str = "text") -> int:
     """Writes the shards under folder (a URI that all executors see) and returns the number of sequences.
 
     Null or empty text: one sequence, of the end id. Repeated rows: sequences for each. Null ids are marked. Empty
@@ -127,7 +127,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, stride: int = 256
         if held:
             yield flush()
 
-    placed = sequences.join(firsts, "part").withColumn("slot", slot(F.col("first") + F.col("nth"))).withColumn("shard", F.floor(F.col("slot") / per_shard))
+    placed = sequences.join(small_enough(firsts), "part").withColumn("slot", slot(F.col("first") + F.col("nth"))).withColumn("shard", F.floor(F.col("slot") / per_shard))
     shards = -(-n // per_shard)
     for r in range(rounds):
         low, high = shards * r // rounds, shards * (r + 1) // rounds
