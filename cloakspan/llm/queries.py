@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, license_scan, media, near_dedup, packing, quality, substring_dedup, token_output, toxicity
+from . import decontaminate, license_scan, line_dedup, media, near_dedup, packing, quality, substring_dedup, token_output, toxicity
 from .shared import new_folder
 
 
@@ -31,6 +32,12 @@ def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read_shards(spark, folder, n).drop("ids")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document without its repeated lines."""
+    out = line_dedup.line_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """On two-word shingles."""
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), k=2).select("doc_id", "n_shingles", "component_id", "kept")
@@ -62,7 +69,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_token_output, op4_near_dedup, op5_decontamination, op6_media, op7_quality, op8_packing, op9_substring_dedup, op10_toxicity)}
+    return {f.__name__: f for f in (op1_license_scan, op2_token_output, op3_line_dedup, op4_near_dedup, op5_decontamination, op6_media, op7_quality, op8_packing, op9_substring_dedup, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
