@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import held_out, labelled_sample
@@ -127,8 +127,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col
     return fit([({w for w in r.words if w in known}, int(r.y)) for r in rows.toLocalIterator()])
 
 
-def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with toxicity (0 to 1) and toxic (1 from the threshold on). Null and empty texts get the model's base score."""
+def score(model: ToxicityModel, text: Column) -> Column:
+    """The model's score (0 to 1) of a text column. Null and empty texts get its base score."""
     weights, bias = model.weights, model.bias
 
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -136,14 +136,20 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3, id_col:
         for batch in texts:
             yield pa.array([own.score(t) for t in batch.to_pylist()], pa.float64())
 
-    scored = F.arrow_udf(run, "double")
-    name, flag = "toxicity", "toxic"
-    out = docs.withColumn(name, scored(F.col(text_col)))
-    return out.withColumn(flag, (F.col(name) >= threshold).cast("int"))
+    return F.arrow_udf(run, "double")(text)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic") -> DataFrame:
-    """One row per row: id, held_out, score, predicted. Repeated rows and null ids: a row each. Empty table: no rows."""
+    """One row per row: id, held_out, score, predicted (1 from the threshold on).
+
+    Null texts count as empty. Repeated rows and null ids: a row each. Empty table: no rows. Texts of any length count
+    whole. Other columns are no inputs. Without labels of both classes all texts score alike.
+    """
     model = train(docs, labels, per_class, id_col, text_col, label)
-    scored = score(docs.select(F.col(id_col), F.col(text_col)), model, threshold, id_col, text_col)
-    return scored.select(F.col(id_col), held_out(F.col(id_col)).alias("held_out"), F.col("toxicity").alias("score"), F.col("toxic").alias("predicted"))
+    scored = docs.select(F.col(id_col), held_out(F.col(id_col)).alias("held_out"), score(model, F.col(text_col)).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic") -> DataFrame:
+    """docs without the rows that score the threshold or more; columns and other rows stay as they are."""
+    return docs.where(score(train(docs, labels, per_class, id_col, text_col, label), F.col(text_col)) < threshold)
