@@ -20,21 +20,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .hashing import mixed, rolled, word_hashes
+from .hashing import mixed, rolled, stretches, words_of
 from .shared import BROADCAST_ROWS, release, small_enough, written
 
 COORDINATES = 64
-ROWS = 400
 #: Of 64 two-bit coordinates, as many may differ: at similarity 0.8, 9.6 do on average (0.2 of which a quarter agree by chance), deviation 2.9.
-SKETCH_APART = 25
+SKETCH_APART = 20
 
 
-def shingle_set(text: str | None, k: int) -> np.ndarray:
-    """The distinct hashes of k running words, lower-cased from A to Z; of the whole if there are fewer; none without words."""
-    words = word_hashes((text or "").encode("utf-8", "surrogatepass").lower().split())
-    if 0 < len(words) < k:
-        return rolled(words, len(words), 100 + len(words))
-    return np.unique(rolled(words, k))
+def shingle_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
+    """For each text, the distinct hashes of k running words, A to Z lower-cased; of the whole if there are fewer; none without words."""
+    words = words_of(texts, fold=True)
+    for a, b in zip(words.first[:-1], words.first[1:], strict=True):
+        own = words.hashes[a:b]
+        yield np.unique(rolled(own, k)) if len(own) >= k else rolled(own, len(own), 100 + len(own)) if len(own) else own
 
 
 _FACTORS = mixed(np.arange(1, COORDINATES + 1, dtype=np.uint64), 7) | np.uint64(1)
@@ -51,18 +50,11 @@ def _minima(found: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for k in range(0, batch.num_rows, ROWS):
-            yield batch.slice(k, ROWS)
-
-
 def _signatures(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _sliced(batches):
+        for batch in stretches(batches):
             n, c, mh, s1, s2 = [], [], [], [], []
-            for text in batch.column(2).to_pylist():
-                found = shingle_set(text, k)
+            for found in shingle_sets(batch.column(2), k):
                 n.append(len(found))
                 if not len(found):
                     c.append(None), mh.append(None), s1.append(None), s2.append(None)
@@ -82,8 +74,8 @@ def _signatures(k: int):
 
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _sliced(batches):
-            own = [shingle_set(t, k).view(np.int64) for t in batch.column(1).to_pylist()]
+        for batch in stretches(batches):
+            own = [x.view(np.int64) for x in shingle_sets(batch.column(1), k)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.int64()))], ["c", "shingles"])
 
     return run
@@ -101,11 +93,11 @@ def _may_link(least: float) -> Column:
 
 
 def _pair() -> list[Column]:
-    return [F.greatest("a.c", "b.c").alias("u"), F.least("a.c", "b.c").alias("v")]
+    return [F.greatest("a.c", "b.c").alias("u"), F.least("a.c", "b.c").alias("v"), _apart().alias("apart")]
 
 
 def candidates(classes: DataFrame, similarity: float, trees: int, leaf: int, levels: int, pivots: int) -> DataFrame:
-    """u > v: the pairs of classes (c, n, mh, s1, s2) that share a small node of a tree, or a large last one with a pivot, and whose sketches are near."""
+    """u > v, apart: the pairs of classes (c, n, mh, s1, s2) that share a small node of a tree, or a large last one with a pivot, and whose sketches are near."""
     slim = [F.col(x) for x in ("c", "n", "s1", "s2")]
     start = classes.select(*slim, F.explode(F.array(*[F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(t), F.get("mh", F.lit(t * 37 % COORDINATES))).alias("node")) for t in range(trees)])).alias("x"))
     now = start.select(*slim, "x.tree", "x.node")
@@ -144,7 +136,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return same.where(F.lit(100) * F.col("both") >= F.lit(percent) * (F.col("sum") - F.col("both"))).select("u", "v")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int = 14, leaf: int = 24, levels: int = 6, pivots: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int = 14, leaf: int = 12, levels: int = 6, pivots: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row: id, text_hash, n_shingles, component_id, kept, copies.
 
     Two texts are linked if 100 * shared shingles >= percent * all their shingles; component_id is the smallest id
@@ -165,14 +157,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int =
     needed = pairs.select(F.explode(F.array("u", "v")).alias("c")).distinct().join(classes.select("c", "text_hash"), "c")
     sets = texts.select("text", "text_hash").join(small_enough(needed, BROADCAST_ROWS), "text_hash").select("c", "text").mapInArrow(_sets(k), "c long, shingles array<long>").dropDuplicates(["c"])
     sets = written(sets, "sets")
-    # First a link upwards for each class; most of the other pairs are then within a component and need no look.
-    first = written(_confirmed(pairs.groupBy("u").agg(F.min("v").alias("v")), sets, percent), "links")
-    joined = components(first)
-    rest = pairs.join(joined.select("u", F.col("v").alias("u_root")), "u", "left")
-    rest = rest.join(joined.select(F.col("u").alias("v"), F.col("v").alias("v_root")), "v", "left")
-    rest = rest.where(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).select("u", "v")
-    second = written(_confirmed(rest, sets, percent), "links")
-    roots = joined if second.isEmpty() else components(first.unionByName(second))
+    # First, for each class, its nearest pair upwards: most of the other pairs are then within a component and need no look.
+    nearest = pairs.groupBy("u").agg(F.min(F.struct("apart", "v")).alias("x")).select("u", "x.v")
+    joined = components(_confirmed(nearest, sets, percent))
+    rest = pairs.join(joined.select("u", F.col("v").alias("u_root")), "u", "left").withColumn("u_root", F.coalesce("u_root", "u"))
+    rest = rest.join(joined.select(F.col("u").alias("v"), F.col("v").alias("v_root")), "v", "left").withColumn("v_root", F.coalesce("v_root", "v"))
+    rest = written(rest.where("u_root <> v_root").select("u", "v", "u_root", "v_root"), "rest")
+    # What links of the others tie together are components, so their graph is small.
+    tied = components(_confirmed(rest, sets, percent).join(rest, ["u", "v"]).select(F.col("u_root").alias("u"), F.col("v_root").alias("v")).distinct())
+    both = joined.join(tied.select(F.col("u").alias("v"), F.col("v").alias("top")), "v", "left").select("u", F.coalesce("top", "v").alias("v"))
+    roots = both.unionByName(tied).dropDuplicates(["u"])
 
     rooted = classes.select("c", "least").join(roots.select(F.col("u").alias("c"), F.col("v").alias("root")), "c", "left").withColumn("root", F.coalesce("root", "c"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))

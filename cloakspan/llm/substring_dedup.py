@@ -17,53 +17,39 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import rolled, word_hashes
-from .shared import release, written
+from .hashing import Words, mixed, stretches, words_of
+from .shared import deleted, new_folder, release, written
 
 PERIOD, COVER = 7, (0, 1, 3)
-#: Rows of a batch that are worked on at once; bounds a worker's memory.
-ROWS = 400
 #: The place of a null id among the ids: after all.
 NO_ID = (1 << 63) - 1
 
 
-def _words(text: str | None) -> list[bytes]:
-    """bytes.split() parts at space and \\t to \\r alone."""
-    return (text or "").encode("utf-8", "surrogatepass").split()
-
-
-def _anchors(words: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Cover places and the hashes of the anchors there."""
-    hashes = rolled(words, width)
-    at = np.arange(len(hashes))
-    at = at[np.isin(at % PERIOD, COVER)]
-    return at, hashes[at]
-
-
-def _near(at: np.ndarray, n: int, reach: int) -> np.ndarray:
-    """The begins of windows, of n, that have an anchor of `at` within `reach` words."""
-    edge = np.zeros(n + 1, np.int64)
-    if n > 0 and len(at):
-        np.add.at(edge, np.clip(at - reach, 0, n), 1)
-        np.add.at(edge, np.clip(at + 1, 0, n), -1)
-    return np.flatnonzero(np.cumsum(edge[:n]) > 0)
+def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
+    return batch.column(batch.schema.get_field_index(name))
 
 
-def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for k in range(0, batch.num_rows, ROWS):
-            yield batch.slice(k, ROWS)
+def _anchors(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cover places and the hashes of the anchors there; places are counted from the begin of each text."""
+    at, hashes = words.runs(width)
+    cover = np.isin((at - words.first[words.text[at]]) % PERIOD, COVER)
+    return at[cover], hashes[cover]
 
 
-def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
-    return batch.column(batch.schema.get_field_index(name))
+def _spread(at: np.ndarray, before: int, after: int, words: Words) -> np.ndarray:
+    """Which words are at most `before` words ahead of one of `at`, or less than `after` behind, in the same text."""
+    edge = np.zeros(len(words.text) + 1, np.int64)
+    np.add.at(edge, np.maximum(at - before, words.first[words.text[at]]), 1)
+    np.add.at(edge, np.minimum(at + after, words.first[words.text[at] + 1]), -1)
+    return np.cumsum(edge[:-1]) > 0
 
 
-def _flat(keys: list[int], runs: list[list[np.ndarray]], names: list[str]) -> pa.RecordBatch:
-    """A row for each element of the runs, with its key."""
-    own = [pa.array(np.concatenate(x).view(np.int64) if x else np.zeros(0, np.int64)) for x in runs]
-    counts = [len(x) for x in runs[0]]
-    return pa.RecordBatch.from_arrays([*own, pa.array(np.repeat(np.array(keys, np.int64), counts))], names)
+def _listed(lists: pa.ListArray, own: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Which of the hashes `own`, each of the text of that number, are in that text's list."""
+    lengths = np.array([0 if x is None else x for x in lists.value_lengths().to_pylist()], np.int64)
+    values = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    tag = mixed(np.arange(len(lists), dtype=np.uint64), 77)
+    return np.isin(own ^ tag[text], values ^ np.repeat(tag, lengths))
 
 
 def substring_dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
@@ -71,6 +57,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
 
     A word goes if a window of `window` running words that covers it also begins in a text with a smaller id. Windows
     are judged on the input. Words are runs of anything but ASCII white space, unchanged.
+    Windows are told by 64-bit hashes: with 10**12 shared windows, one in 10**7 may be taken for another.
     Null or empty texts have no words. Null ids come after all others. Rows that share an id don't remove from each
     other. Texts under the window's length lose nothing. Empty table: no rows. Other columns are ignored.
     """
@@ -80,69 +67,62 @@ def substring_dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
     keyed = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("key"), F.col(text_col).alias("text"))
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _sliced(batches):
-            own = [np.unique(_anchors(word_hashes(_words(t)), width)[1]) for t in _column(batch, "text").to_pylist()]
-            yield _flat(_column(batch, "key").to_pylist(), [own], ["anchor", "key"])
-
-    found = keyed.select("key", "text").mapInArrow(anchors, "anchor long, key long")
+        for batch in stretches(batches):
+            words = words_of(_column(batch, "text"))
+            at, hashes = _anchors(words, width)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), _column(batch, "key").take(pa.array(words.text[at]))], ["anchor", "key"])
+
+    table = new_folder(spark, "all-anchors")
+    keyed.select("key", "text").mapInArrow(anchors, "anchor long, key long").write.parquet(table)
+    found = spark.read.schema("anchor long, key long").parquet(table)
     # Rows, not texts, are counted: a few anchors too many cost a look and no error.
     shared = written(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors")
     release(spark)
     mine = written(found.join(shared, "anchor").groupBy("key").agg(F.collect_set("anchor").alias("anchors")), "shared")
+    deleted(spark, table)
     release(spark)
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _sliced(batches):
-            keys, first, second = _column(batch, "key").to_pylist(), [], []
-            for text, known in zip(_column(batch, "text").to_pylist(), _column(batch, "anchors"), strict=True):
-                a, b = _pairs(word_hashes(_words(text)), known)[1:]
-                both = np.unique(np.stack([a, b], 1), axis=0)
-                first.append(both[:, 0].copy())
-                second.append(both[:, 1].copy())
-            yield _flat(keys, [first, second], ["a", "b", "key"])
-
-    def _pairs(words: np.ndarray, known: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Begins of the windows with a shared anchor, and their 128-bit hashes."""
+    def near(words: Words, lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        """Begins and hashes of the windows around the listed anchors."""
         at, hashes = _anchors(words, width)
-        if not known.is_valid:
-            return (np.zeros(0, np.int64), *[np.zeros(0, np.uint64)] * 2)
-        at = at[np.isin(hashes, known.values.to_numpy(zero_copy_only=False).view(np.uint64))]
-        begins = _near(at, max(0, len(words) - window + 1), reach)
-        return begins, rolled(words, window, 1)[begins], rolled(words, window, 2)[begins]
+        open_ = _spread(at[_listed(lists, hashes, words.text[at])], reach, 1, words)
+        begins, own = words.runs(window, 1)
+        return begins[open_[begins]], own[open_[begins]]
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stretches(batches):
+            words = words_of(_column(batch, "text"))
+            begins, own = near(words, _column(batch, "anchors"))
+            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), _column(batch, "key").take(pa.array(words.text[begins]))], ["w", "key"])
 
-    long = written(keyed.select("key", "text").join(mine, "key").mapInArrow(windows, "a long, b long, key long"), "windows")
+    table = new_folder(spark, "windows")
+    keyed.select("key", "text").join(mine, "key").mapInArrow(windows, "w long, key long").write.parquet(table)
     release(spark)
-    firsts = long.groupBy("a", "b").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last").drop("last")
-    gone = long.join(firsts, ["a", "b"]).where("key > first").groupBy("key").agg(F.collect_set("a").alias("a"))
-    gone = written(gone.join(mine, "key"), "gone")
+    found = spark.read.schema("w long, key long").parquet(table)
+    firsts = written(found.groupBy("w").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last").drop("last"), "firsts")
+    release(spark)
+    gone = written(found.join(firsts, "w").where("key > first").groupBy("key").agg(F.collect_set("w").alias("dead")), "gone")
+    deleted(spark, table)
     release(spark)
-    # A window is told by both halves of its hash where it is judged; within its own text one half is enough.
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _sliced(batches):
-            rows = []
-            for text, known, dead in zip(_column(batch, "text").to_pylist(), _column(batch, "anchors"), _column(batch, "a"), strict=True):
-                words = _words(text)
-                removed = np.zeros(0, np.int64)
-                if known.is_valid:
-                    begins, a, _ = _pairs(word_hashes(words), known)
-                    begins = begins[np.isin(a, dead.values.to_numpy(zero_copy_only=False).view(np.uint64))]
-                    removed = _covered(begins, len(words), window)
-                kept = np.ones(len(words), bool)
-                kept[removed] = False
-                left = b" ".join([w for w, k in zip(words, kept, strict=True) if k] if len(removed) else words)
-                rows.append((len(words), len(removed), hashlib.sha256(left).hexdigest(), left.decode("utf-8", "surrogatepass") if with_text else None))
-            n, r, h, t = zip(*rows, strict=True) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([_column(batch, "id"), pa.array(n, pa.int64()), pa.array(r, pa.int64()), pa.array(h, pa.string()), pa.array(t, pa.string())], ["id", "n_words", "n_removed", "kept_sha256", "kept_text"])
+        for batch in stretches(batches):
+            texts = _column(batch, "text")
+            words = words_of(texts)
+            begins, own = words.runs(window, 1)
+            removed = _spread(begins[_listed(_column(batch, "dead"), own, words.text[begins])], 0, window, words)
+            n = np.diff(words.first)
+            lost = np.add.reduceat(np.append(removed, False).astype(np.int64), words.first[:-1]) * (n > 0) if len(n) else n
+            digests, left = [], []
+            for k, text in enumerate(texts.to_pylist()):
+                own = (text or "").encode().split()  # bytes.split() parts at space and \t to \r alone
+                if lost[k]:
+                    own = [w for w, x in zip(own, removed[words.first[k] : words.first[k + 1]].tolist(), strict=True) if not x]
+                kept = b" ".join(own)
+                digests.append(hashlib.sha256(kept).hexdigest())
+                left.append(kept.decode() if with_text else None)
+            yield pa.RecordBatch.from_arrays([_column(batch, "id"), pa.array(n, pa.int64()), pa.array(lost, pa.int64()), pa.array(digests, pa.string()), pa.array(left, pa.string())], ["id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = keyed.join(gone, "key", "left").select("id", "text", "anchors", "a").mapInArrow(strip, f"id {kind}, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    out = keyed.join(gone, "key", "left").select("id", "text", "dead").mapInArrow(strip, f"id {kind}, n_words long, n_removed long, kept_sha256 string, kept_text string")
     return out.withColumnRenamed("id", id_col).drop(*[] if with_text else ["kept_text"])
-
-
-def _covered(begins: np.ndarray, n: int, window: int) -> np.ndarray:
-    """The places, of n, within `window` words from a begin on."""
-    edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, begins, 1)
-    np.add.at(edge, np.minimum(begins + window, n), -1)
-    return np.flatnonzero(np.cumsum(edge[:n]) > 0)

@@ -120,11 +120,21 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([sorted(words_of(t)) for t in batch.column(0).to_pylist()], pa.list_(pa.string())), batch.column(1)], ["words", "y"])
 
-    rows = sample.mapInArrow(cut, f"words array<string>, y {sample.schema['y'].dataType.simpleString()}")
-    # Words met in fewer than five sampled texts can't be features; the others come to the driver, a bounded sample.
-    often = rows.select(F.explode_outer("words").alias("w")).groupBy("w").agg(F.count("*").alias("n")).where("n >= 5").orderBy(F.desc("n"), "w").limit(100_000)
-    known = {r.w for r in often.toLocalIterator()}
-    return fit([({w for w in r.words if w in known}, int(r.y)) for r in rows.toLocalIterator()])
+    kind = f"words array<string>, y {sample.schema['y'].dataType.simpleString()}"
+    rows = sample.mapInArrow(cut, kind)
+    total = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    n1, n0 = total.get(1, 0), total.get(0, 0)
+    # The same evidence as in fit(), summed on the executors; the driver gets the strongest words and who has them.
+    met = rows.select(F.explode_outer("words").alias("w"), "y").where("w is not null").groupBy("w").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("o")).where("t + o >= 5")
+    odds = (F.log((F.col("t") + 0.5) / (n1 + 1)) - F.log((F.col("o") + 0.5) / (n0 + 1))) / F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("o") + 0.5))
+    strong = [r.w for r in met.select("w", odds.alias("odds")).where("odds > 3").orderBy(F.desc("odds"), "w").limit(FEATURES).collect()]
+    known = {*strong, *TERMS}
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sorted(words_of(t) & known) for t in batch.column(0).to_pylist()], pa.list_(pa.string())), batch.column(1)], ["words", "y"])
+
+    return fit([(set(r.words), int(r.y)) for r in sample.mapInArrow(keep, kind).collect()])
 
 
 def score(model: ToxicityModel, text: Column) -> Column:
