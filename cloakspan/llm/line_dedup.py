@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_ROWS, release, small_enough, written
+from .shared import BROADCAST_ROWS, clash_free, release, small_enough, written
 
 
 def _cut(length: Column, i: int, edits: int) -> tuple[Column, Column]:
@@ -151,17 +151,19 @@ def line_dedup(docs: DataFrame, edits: int = 1, min_chars: int = 20, id_col: str
 
     counts adds n_lines and n_removed. drop_emptied leaves out rows of which nothing but blank lines is left (rows that
     had no other lines stay). Null and empty texts stay as they are. Of rows equal in id and text each keeps its first
-    lines, since they aren't told apart. Empty table: no rows.
+    lines, since they aren't told apart. Empty table: no rows. Ids are integers. Columns n_lines and n_removed of docs
+    give way if counts is set.
     """
-    gone = repeated_lines(docs, edits, min_chars, id_col, text_col).select(F.col("key").alias("_key"), F.col("text_hash").alias("_hash"), F.col("gone").alias("_gone"))
-    same = (F.coalesce(docs[id_col].cast("long"), F.lit((1 << 63) - 1)) == F.col("_key")) & (F.xxhash64(docs[text_col]) == F.col("_hash"))
-    out = docs.join(gone, same, "left").drop("_key", "_hash")
-    out = out.withColumn("_lines", F.split(F.col(text_col), "\n"))
-    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone")), lambda k: F.get("_lines", k))
-    out = out.withColumn("_left", F.when(F.col("_gone").isNull(), F.col("_lines")).otherwise(left))
+    key, digest, numbers, lines, left = clash_free(docs.columns, "_key", "_hash", "_gone", "_lines", "_left")
+    gone = repeated_lines(docs, edits, min_chars, id_col, text_col).select(F.col("key").alias(key), F.col("text_hash").alias(digest), F.col("gone").alias(numbers))
+    same = (F.coalesce(docs[id_col].cast("long"), F.lit((1 << 63) - 1)) == gone[key]) & (F.xxhash64(docs[text_col]) == gone[digest])
+    out = docs.join(gone, same, "left").drop(key, digest).withColumn(lines, F.split(F.col(text_col), "\n"))
+    some = F.col(numbers).isNotNull()
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(numbers))
+    out = out.withColumn(left, F.when(some, F.array_join(F.transform(stay, lambda k: F.get(lines, k)), "\n")).otherwise(F.col(text_col)))
     if counts:
-        out = out.withColumn("n_lines", F.coalesce(F.size("_lines").cast("long"), F.lit(0))).withColumn("n_removed", F.coalesce(F.size("_gone").cast("long"), F.lit(0)))
-    out = out.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join("_left", "\n")))
+        out = out.withColumn("n_lines", F.coalesce(F.size(lines).cast("long"), F.lit(0))).withColumn("n_removed", F.when(some, F.size(numbers)).otherwise(0).cast("long"))
+        out = out.withColumn("n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.col("n_lines")))
     if drop_emptied:
-        out = out.where(F.col("_gone").isNull() | (F.trim(F.translate(text_col, "\n\r\t", "   ")) != ""))
-    return out.drop("_lines", "_left", "_gone")
+        out = out.where(~some | (F.trim(F.translate(left, "\n\r\t", "   ")) != ""))
+    return out.withColumn(text_col, F.col(left)).drop(lines, left, numbers)

@@ -183,7 +183,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs with one row of each component (the one with the smallest id; of rows equal in id and text, one); columns stay."""
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, **kw)
     stay = written(found.where("kept").select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash"), "copies", "n_shingles").distinct(), "stay")
-    same = docs[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text_col]) == F.col("_hash"))
+    same = docs[id_col].eqNullSafe(stay["_id"]) & (F.xxhash64(docs[text_col]) == stay["_hash"])
     single = docs.join(stay.where("copies = 1 or n_shingles = 0"), same, "left_semi")
     several = docs.join(stay.where("copies > 1 and n_shingles > 0"), same, "left_semi")
     if several.isEmpty():
