@@ -65,43 +65,34 @@ def _all_but_one(line: str, length: str) -> tuple[Column, Column]:
     return F.array(*own), F.array(*probes)
 
 
-def edit_distance_within(a: str, b: str, edits: int) -> Column:
-    """The edit distance of columns a and b, code points counted, if it is `edits` at most; more than edits otherwise.
+def with_edit_distance(pairs: DataFrame, a: str, b: str, edits: int, out: str = "distance") -> DataFrame:
+    """pairs with the edit distance of columns a and b, code points counted, where it is `edits` at most; edits + 1 where it is more.
 
-    Bit-parallel on a band of 2 * edits + 1 diagonals: bit k of the state is row j - edits + k of column j.
+    Bit-parallel on a band of 2 * edits + 1 diagonals: bit k of the state is row j - edits + k of column j. The steps
+    are columns of their own, since the planner would copy what is used more than once into each use.
     """
     if not 1 <= edits <= 20:
         raise ValueError("edits must be 1 to 20")
-    long_, short = F.when(F.char_length(a) >= F.char_length(b), F.col(a)).otherwise(F.col(b)), F.when(F.char_length(a) >= F.char_length(b), F.col(b)).otherwise(F.col(a))
-    p, t = F.split(long_, ""), F.split(short, "")
     width = 2 * edits + 1
     full = (1 << width) - 1
-    invert = lambda x: x.bitwiseXOR(F.lit(full))
-    m = F.char_length(long_)
-
-    def step(pattern: Column):
-        def run(state: Column, j: Column) -> Column:
-            c, vp, vn = F.get(state["t"], j), state["vp"], state["vn"]
-            bits = [F.when((j - edits + k >= 0) & (F.get(pattern, j - edits + k) == c), F.lit(1 << k)).otherwise(F.lit(0)) for k in range(width)]
-            match = bits[0].cast("long")
-            for x in bits[1:]:
-                match = match.bitwiseOR(x.cast("long"))
-            d0 = ((match.bitwiseAND(vp) + vp).bitwiseXOR(vp)).bitwiseOR(match).bitwiseOR(vn).bitwiseAND(F.lit(full))
-            hp, hn = vn.bitwiseOR(invert(d0.bitwiseOR(vp))), d0.bitwiseAND(vp)
-            # While the band's last row is a row of the table, the distance goes along its diagonal; then along the last row.
-            inside = j + edits < state["m"]
-            row = F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(F.lit(0), (state["m"] - 1 - j + edits).cast("int")))
-            down = F.when(d0.bitwiseAND(F.lit(1 << (width - 1))) == 0, 1).otherwise(0)
-            along = F.when(hp.bitwiseAND(row) != 0, 1).when(hn.bitwiseAND(row) != 0, -1).otherwise(0)
-            shifted = F.shiftrightunsigned(d0, 1)
-            return F.struct(state["t"].alias("t"), state["m"].alias("m"), hn.bitwiseOR(invert(shifted.bitwiseOR(hp))).alias("vp"), shifted.bitwiseAND(hp).alias("vn"), (state["d"] + F.when(inside, down).otherwise(along)).alias("d"))
-
-        return run
-
-    start = F.struct(t.alias("t"), m.alias("m"), F.lit(((1 << (edits + 1)) - 1) << edits).cast("long").alias("vp"), F.lit(0).cast("long").alias("vn"), F.lit(edits).alias("d"))
-    steps = F.when(F.char_length(short) > 0, F.sequence(F.lit(0), F.char_length(short) - 1)).otherwise(F.array().cast("array<int>"))
-    distance = F.aggregate(steps, start, step(p), lambda s: s["d"])
-    return F.when(m - F.char_length(short) > edits, edits + 1).when(m <= edits, F.levenshtein(long_, short)).otherwise(distance)
+    ahead = F.char_length(a) >= F.char_length(b)
+    p, t, m, n = clash_free(pairs.columns, "_p", "_t", "_m", "_n")
+    rows = pairs.withColumns({p: F.split(F.when(ahead, F.col(a)).otherwise(F.col(b)), ""), t: F.split(F.when(ahead, F.col(b)).otherwise(F.col(a)), "")})
+    rows = rows.withColumns({m: F.greatest(F.char_length(a), F.char_length(b)), n: F.least(F.char_length(a), F.char_length(b))})
+    step = " + ".join(f"IF(j + {k - edits} >= 0 AND get({p}, j + {k - edits}) <=> get({t}, j), {1 << k}L, 0L)" for k in range(width))
+    # Each lambda names what the next one uses: the matches x, then d0, then the two horizontal differences.
+    d0 = f"((((x & s.vp) + s.vp) ^ s.vp) | x | s.vn) & {full}L"
+    hp = f"s.vn | ((d0 | s.vp) ^ {full}L)"
+    down = f"IF((d0 & {1 << (width - 1)}L) = 0, 1, 0)"
+    along = f"CASE WHEN (hp & shiftleft(1L, greatest(0, {m} - 1 - j + {edits}))) <> 0 THEN 1 WHEN (d0 & s.vp & shiftleft(1L, greatest(0, {m} - 1 - j + {edits}))) <> 0 THEN -1 ELSE 0 END"
+    new = f"named_struct('vp', (d0 & s.vp) | ((shiftrightunsigned(d0, 1) | hp) ^ {full}L), 'vn', shiftrightunsigned(d0, 1) & hp, 'd', s.d + IF(j + {edits} < {m}, {down}, {along}))"
+    let = lambda name, value, body: f"element_at(transform(array({value}), {name} -> {body}), 1)"
+    body = let("x", step, let("d0", d0, let("hp", hp, new)))
+    start = f"named_struct('vp', {((1 << (edits + 1)) - 1) << edits}L, 'vn', 0L, 'd', {edits})"
+    fold = F.expr(f"aggregate(IF({n} > 0, sequence(0, {n} - 1), CAST(array() AS array<int>)), {start}, (s, j) -> {body}, s -> s.d)")
+    # Lines no longer than the band have no band: they are compared outright.
+    distance = F.when(F.col(m) - F.col(n) > edits, edits + 1).when(F.col(m) <= edits, F.levenshtein(a, b)).otherwise(fold)
+    return rows.withColumn(out, F.least(distance, F.lit(edits + 1))).drop(p, t, m, n)
 
 
 def repeated_lines(docs: DataFrame, edits: int = 1, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -135,7 +126,8 @@ def repeated_lines(docs: DataFrame, edits: int = 1, min_chars: int = 20, id_col:
     wanted = placed.where(F.char_length("line") >= min_chars).select("line", *hashed).join(needed, "h1").groupBy("h1", "h2").agg(F.first("line").alias("line"))
     wanted = written(wanted.join(distinct, ["h1", "h2"]), "wanted")
     of = lambda side: wanted.select(F.col("h1").alias(side), F.col("h2").alias(f"{side}2"), F.col("line").alias(f"{side}_line"), F.col("first").alias(f"{side}_first"))
-    near = pairs.join(of("x"), "x").join(of("y"), "y").where(edit_distance_within("x_line", "y_line", edits) <= edits)
+    near = with_edit_distance(pairs.join(of("x"), "x").join(of("y"), "y"), "x_line", "y_line", edits)
+    near = written(near.drop("x_line", "y_line"), "measured").where(F.col("distance") <= edits)
     later = F.when(F.col("x_first") < F.col("y_first"), F.struct(F.col("y").alias("h1"), F.col("y2").alias("h2"))).otherwise(F.struct(F.col("x").alias("h1"), F.col("x2").alias("h2")))
     linked = written(near.select(later.alias("l")).select("l.*").distinct().withColumn("linked", F.lit(True)), "linked")
     release(spark)

@@ -96,7 +96,7 @@ def test_banded_distance(spark, edits):
             elif k < len(b):
                 b[k : k + 1] = rng.choice([[], ["a"]])
         pairs.append(("".join(a), "".join(b)))
-    out = spark.createDataFrame(pairs, "a string, b string").select("a", "b", LD.edit_distance_within("a", "b", edits).alias("d")).collect()
+    out = LD.with_edit_distance(spark.createDataFrame(pairs, "a string, b string"), "a", "b", edits, "d").collect()
     for r in out:
         d = distance(r.a, r.b)
         assert r.d == d if d <= edits else r.d > edits
