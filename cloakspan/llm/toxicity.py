@@ -90,26 +90,28 @@ def fit(rows: list[tuple[set[str], int]], fair: float = 50.0, l1: float = 2e-4,
         own = [w for w in words if w in at]
         x[r, [at[w] for w in own]] = 1
         swaps.update((at[t], at.get(o, -1)) for t, o in _swaps(own))
-    a, b, times = (np.array(v) for v in zip(*[(a, b, n) for (a, b), n in swaps.items()], strict=True)) if swaps else ([], [], [])
-    w, v, bias, momentum = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1), float(np.log(n1 / n0)), 1.0  # the last weight, of terms that aren't in the sample, stays 0
+    # The penalty is a graph of terms; its step is taken exactly. A term that isn't in the sample weighs 0.
     rate = 4.0 / (1 + float((x**2).sum(1).mean()))
-    fair_share = fair * np.asarray(times, float) / len(rows) if len(times) else None
+    terms = sorted({a for a, _ in swaps})
+    spot = {a: k for k, a in enumerate(terms)}
+    pull = np.eye(len(terms))
+    for (a, b), n in swaps.items():
+        share = 2 * rate * fair * n / len(rows)
+        pull[spot[a], spot[a]] += share
+        if b in spot:
+            pull[spot[b], spot[b]] += share
+            pull[spot[a], spot[b]] -= share
+            pull[spot[b], spot[a]] -= share
+    w, v, bias, momentum = np.zeros(len(chosen)), np.zeros(len(chosen)), float(np.log(n1 / n0)), 1.0
     for _ in range(steps):  # proximal gradient with momentum
-        p = 1 / (1 + np.exp(-np.clip(x @ v[:-1].astype(np.float32) + bias, -30, 30)))
-        grad = np.zeros_like(w)
-        grad[:-1] = x.T @ (p - y) / len(rows)
-        if fair_share is not None:
-            change = 2 * fair_share * (v[a] - v[b])
-            np.add.at(grad, a, change)
-            np.add.at(grad, b, -change)
-            grad = np.clip(grad, -1, 1)
-        moved = v - rate * grad
+        p = 1 / (1 + np.exp(-np.clip(x @ v.astype(np.float32) + bias, -30, 30)))
+        moved = v - rate * (x.T @ (p - y)) / len(rows)
+        moved[terms] = np.linalg.solve(pull, moved[terms])
         new = np.sign(moved) * np.maximum(np.abs(moved) - rate * l1, 0)
-        new[-1] = 0
         bias -= rate * float((p - y).mean())
         after = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
         v, w, momentum = new + (momentum - 1) / after * (new - w), new, after
-    return ToxicityModel(bias, {c: float(k) for c, k in zip(chosen, w[:-1], strict=True) if abs(k) > 1e-6})
+    return ToxicityModel(bias, {c: float(k) for c, k in zip(chosen, w, strict=True) if abs(k) > 1e-6})
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic") -> ToxicityModel:

@@ -156,7 +156,8 @@ def test_components(spark):
 
 
 def test_substrings_against_brute_force(spark):
-    rng, passages, docs = random.Random(4), [words(rng.randint(10, 60), 50 + k) for k in range(6)], []
+    rng, docs = random.Random(4), []
+    passages = [words(rng.randint(10, 60), 50 + k) for k in range(6)]
     for i in range(60):
         own = []
         for _ in range(rng.randint(0, 3)):
