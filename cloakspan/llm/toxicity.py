@@ -81,7 +81,7 @@ def fit(rows: list[tuple[set[str], int]], fair: float = 50.0, l1: float = 2e-4,
     l1 = max(l1, least / len(rows))
     seen = [w for w in toxic.keys() | other.keys() if toxic[w] + other[w] >= 5]
     odds = {w: (np.log((toxic[w] + 0.5) / (n1 + 1)) - np.log((other[w] + 0.5) / (n0 + 1))) / np.sqrt(1 / (toxic[w] + 0.5) + 1 / (other[w] + 0.5)) for w in seen}
-    strong = sorted((w for w in seen if odds[w] > 3), key=lambda w: (-odds[w], w))[:FEATURES]
+    strong = sorted((w for w in seen if odds[w] > 2), key=lambda w: (-odds[w], w))[:FEATURES]
     chosen = sorted({*strong, *(t for t in TERMS if t in odds)})
     at = {w: k for k, w in enumerate(chosen)}
     x, y = np.zeros((len(rows), len(chosen)), np.float32), np.array([y for _, y in rows], np.float32)
@@ -129,7 +129,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col
     # The same evidence as in fit(), summed on the executors; the driver gets the strongest words and who has them.
     met = rows.select(F.explode_outer("words").alias("w"), "y").where("w is not null").groupBy("w").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("o")).where("t + o >= 5")
     odds = (F.log((F.col("t") + 0.5) / (n1 + 1)) - F.log((F.col("o") + 0.5) / (n0 + 1))) / F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("o") + 0.5))
-    strong = [r.w for r in met.select("w", odds.alias("odds")).where("odds > 3").orderBy(F.desc("odds"), "w").limit(FEATURES).collect()]
+    strong = [r.w for r in met.select("w", odds.alias("odds")).where("odds > 2").orderBy(F.desc("odds"), "w").limit(FEATURES).collect()]
     known = {*strong, *TERMS}
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
