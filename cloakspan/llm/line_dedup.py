@@ -2,8 +2,9 @@
 
 Two lines within `edits` edits that are cut into edits + 1 segments share one segment unchanged, at a place that their
 lengths and the number of edits bound. So each distinct line is indexed by its segments under (length, segment number)
-and probes the indexes of its own and slightly smaller lengths with its substrings at those places. What meets is
-verified by the banded bit-parallel edit distance. All steps are DataFrame functions.
+and probes the indexes of its own and slightly smaller lengths with its substrings at those places. For one edit, lines
+that meet there must meet again on all but an eighth of the line. Pairs that do are verified by the banded bit-parallel
+edit distance. All steps are DataFrame functions.
 """
 
 from __future__ import annotations
@@ -107,14 +108,24 @@ def repeated_lines(docs: DataFrame, edits: int = 1, min_chars: int = 20, id_col:
     placed = texts.select("key", "text_hash", F.posexplode_outer("lines").alias("at", "line")).where(F.trim("line") != "")
     hashed = [F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2")]
     first = F.min(F.struct("key", "text_hash", "at")).alias("first")
-    distinct = written(placed.select("key", "text_hash", "at", *hashed).groupBy("h1", "h2").agg(first), "lines")
+    long = F.char_length("line") >= min_chars
+    # The segments of all lines come first, few keys a line; only lines that share a segment with another line are read again.
+    keys = F.when(F.col("length") >= min_chars, F.array_distinct(F.concat(_index("line", "length", edits), _probes("line", "length", edits)))).alias("keys")
+    each = placed.withColumn("length", F.char_length("line")).select("key", "text_hash", "at", *hashed, keys)
+    distinct = written(each.groupBy("h1", "h2").agg(first, F.first("keys").alias("keys")), "lines")
+    segments = distinct.select("h1", "h2", "first", F.explode("keys").alias("k"))
+    shared = written(segments.groupBy("k").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a < b").select("k"), "segments")
+    release(spark)
+    suspects = written(segments.join(small_enough(shared, BROADCAST_ROWS), "k").drop("k").dropDuplicates(["h1", "h2"]), "suspects")
+    wanted = placed.where(long).select("line", *hashed).join(small_enough(suspects, BROADCAST_ROWS // 4), ["h1", "h2"])
+    wanted = written(wanted.groupBy("h1", "h2").agg(F.first("line").alias("line"), F.first("first").alias("first")), "wanted")
+    release(spark)
 
-    lines = placed.where(F.char_length("line") >= min_chars).withColumn("length", F.char_length("line"))
+    lines = wanted.withColumn("length", F.char_length("line"))
     own, probes = _all_but_one("line", "length") if edits == 1 else (_index("line", "length", edits), _probes("line", "length", edits))
     marked = lambda keys, is_own: F.transform(keys, lambda x: F.struct(x.alias("k"), F.lit(is_own).alias("is_own")))
-    each = lines.select(F.xxhash64("line").alias("h1"), F.concat(marked(own, True), marked(probes, False)).alias("x"))
-    each = each.select("h1", F.explode_outer("x").alias("x")).select("h1", "x.k", "x.is_own")
-    # Equal lines are one (their hash); keys of one line only, nearly all, fall away in the aggregate.
+    each = lines.select("h1", F.explode(F.concat(marked(own, True), marked(probes, False))).alias("x")).select("h1", "x.k", "x.is_own")
+    # Keys of one line only, nearly all, fall away in the aggregate.
     shared = written(each.groupBy("k").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a < b").select("k"), "segments")
     release(spark)
     kept = written(each.join(small_enough(shared, BROADCAST_ROWS), "k").distinct(), "segments")
@@ -122,9 +133,6 @@ def repeated_lines(docs: DataFrame, edits: int = 1, min_chars: int = 20, id_col:
     pairs = written(met.select(F.least("a.h1", "b.h1").alias("x"), F.greatest("a.h1", "b.h1").alias("y")).distinct(), "line-pairs")
     release(spark)
 
-    needed = small_enough(pairs.select(F.explode(F.array("x", "y")).alias("h1")).distinct(), BROADCAST_ROWS)
-    wanted = placed.where(F.char_length("line") >= min_chars).select("line", *hashed).join(needed, "h1").groupBy("h1", "h2").agg(F.first("line").alias("line"))
-    wanted = written(wanted.join(distinct, ["h1", "h2"]), "wanted")
     of = lambda side: wanted.select(F.col("h1").alias(side), F.col("h2").alias(f"{side}2"), F.col("line").alias(f"{side}_line"), F.col("first").alias(f"{side}_first"))
     near = with_edit_distance(pairs.join(of("x"), "x").join(of("y"), "y"), "x_line", "y_line", edits)
     near = written(near.drop("x_line", "y_line"), "measured").where(F.col("distance") <= edits)
@@ -132,7 +140,7 @@ def repeated_lines(docs: DataFrame, edits: int = 1, min_chars: int = 20, id_col:
     linked = written(near.select(later.alias("l")).select("l.*").distinct().withColumn("linked", F.lit(True)), "linked")
     release(spark)
 
-    verdict = distinct.join(linked, ["h1", "h2"], "left")
+    verdict = distinct.drop("keys").join(linked, ["h1", "h2"], "left")
     here = F.struct("key", "text_hash", "at")
     gone = placed.select("key", "text_hash", "at", *hashed).join(verdict, ["h1", "h2"]).where(F.col("linked") | (here != F.col("first")))
     return written(gone.groupBy("key", "text_hash").agg(F.collect_set("at").alias("gone")), "gone")
