@@ -6,7 +6,8 @@ of the tokens chosen at each node. Nodes that are still large choose again (one
 similar pair is expected to stay together along one path a level); the pairs of small nodes are compared exhaustively,
 on a 2-bit minwise sketch, and those that may be similar enough are confirmed on the full sets. Nodes that stay large
 to the last level hold near copies of a text: each of their classes is compared with a few pivots and, in blocks that
-differ from tree to tree, with others. Links are merged to components; pairs already tied by confirmed links are not
+differ from tree to tree, with others. The nearest pivot of two trees is confirmed before that, so that only what it
+leaves untied is compared further. Links are merged to components; pairs already tied by confirmed links are not
 confirmed again.
 """
 
@@ -96,8 +97,12 @@ def _pair() -> list[Column]:
     return [F.greatest("a.c", "b.c").alias("u"), F.least("a.c", "b.c").alias("v"), _apart().alias("apart")]
 
 
-def candidates(classes: DataFrame, similarity: float, trees: int, leaf: int, levels: int, pivots: int) -> DataFrame:
-    """u > v, apart: the pairs of classes (c, n, mh, s1, s2) that share a small node of a tree, or a large last one with a pivot, and whose sketches are near."""
+#: So many trees' pivots are confirmed ahead of all other pairs.
+EARLY_TREES = 2
+
+
+def branched(classes: DataFrame, trees: int, leaf: int, levels: int) -> tuple[list[DataFrame], DataFrame]:
+    """The small nodes of all trees, by level, and the large ones that are left at the last level (with their size)."""
     slim = [F.col(x) for x in ("c", "n", "s1", "s2")]
     start = classes.select(*slim, F.explode(F.array(*[F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(t), F.get("mh", F.lit(t * 37 % COORDINATES))).alias("node")) for t in range(trees)])).alias("x"))
     now = start.select(*slim, "x.tree", "x.node")
@@ -116,16 +121,28 @@ def candidates(classes: DataFrame, similarity: float, trees: int, leaf: int, lev
         both = F.pmod(F.xxhash64("node", F.lit(-1)), F.lit(4)) == 0
         deep = large.drop("size").join(classes.select("c", "mh"), "c").withColumn("x", F.explode(F.when(both, F.array(down(0), down(1))).otherwise(F.array(down(0)))))
         now = deep.select("c", "n", "s1", "s2", "tree", "x.node")
-    # What is large to the end: pivots for all, and blocks that the tree deals out.
-    large = sized.where(F.col("size") > leaf)
-    block = F.xxhash64("node", F.lit("block"), F.pmod(F.xxhash64("c", "tree"), F.ceil(F.col("size") * 2 / leaf)))
-    small.append(large.withColumn("node", block).drop("size"))
-    picked = large.groupBy("node").agg(F.array(*[F.min(F.struct(F.xxhash64("c", "node", F.lit(p)).alias("h"), *slim)) for p in range(pivots)]).alias("p"))
+    return small, written(sized.where(F.col("size") > leaf), "large")
+
+
+def to_pivots(large: DataFrame, pivots: int, met: Column) -> DataFrame:
+    """a, b: the classes of large nodes (a) with the pivots of their node (b), where `met` holds."""
+    own = [F.col(x) for x in large.columns if x not in ("tree", "node", "size")]
+    picked = large.groupBy("node").agg(F.array(*[F.min(F.struct(F.xxhash64("c", "node", F.lit(p)).alias("h"), *own)) for p in range(pivots)]).alias("p"))
     picked = picked.select(F.col("node").alias("pivot_node"), F.explode("p").alias("b")).select("pivot_node", "b.*")
-    pairs = large.alias("a").join(picked.alias("b"), F.col("a.node") == F.col("b.pivot_node")).where(F.col("a.c") != F.col("b.c")).where(_may_link(similarity)).select(*_pair())
-    for rows in small:
-        met = rows.alias("a").join(rows.alias("b"), (F.col("a.node") == F.col("b.node")) & (F.col("a.c") < F.col("b.c")))
-        pairs = pairs.unionByName(met.where(_may_link(similarity)).select(*_pair()))
+    return large.alias("a").join(picked.alias("b"), (F.col("a.node") == F.col("b.pivot_node")) & met)
+
+
+def candidates(small: list[DataFrame], large: DataFrame, similarity: float, leaf: int, pivots: int) -> DataFrame:
+    """u > v, apart: the pairs of classes (c, n, s1, s2) that share a small node, or a large one with a pivot or in a block, and whose sketches are near.
+
+    large has a root too: classes of one root are tied already and are no pair.
+    """
+    apart = (F.col("a.root") != F.col("b.root")) & _may_link(similarity)
+    pairs = to_pivots(large, pivots, apart).select(*_pair())
+    block = F.xxhash64("node", F.lit("block"), F.pmod(F.xxhash64("c", "tree"), F.ceil(F.col("size") * 2 / leaf)))
+    for rows, also in [(large.withColumn("node", block), apart), *[(x, _may_link(similarity)) for x in small]]:
+        met = rows.alias("a").join(rows.alias("b"), (F.col("a.node") == F.col("b.node")) & (F.col("a.c") < F.col("b.c")) & also)
+        pairs = pairs.unionByName(met.select(*_pair()))
     return pairs.distinct()
 
 
@@ -151,15 +168,26 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int =
     signed = written(signed, "signatures")
     classes = signed.where("c is not null").groupBy("c").agg(F.min("id").alias("least"), F.min("n").alias("n"), F.min("s1").alias("s1"), F.min("s2").alias("s2"), F.min("text_hash").alias("text_hash"), F.min("mh").alias("mh"))
     classes = written(classes, "classes")
-    pairs = written(candidates(classes, percent / 100, trees, leaf, levels, pivots), "pairs")
-    release(docs.sparkSession)
 
-    needed = pairs.select(F.explode(F.array("u", "v")).alias("c")).distinct().join(classes.select("c", "text_hash"), "c")
-    sets = texts.select("text", "text_hash").join(small_enough(needed, BROADCAST_ROWS), "text_hash").select("c", "text").mapInArrow(_sets(k), "c long, shingles array<long>").dropDuplicates(["c"])
-    sets = written(sets, "sets")
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        needed = pairs.select(F.explode(F.array("u", "v")).alias("c")).distinct().join(classes.select("c", "text_hash"), "c")
+        own = texts.select("text", "text_hash").join(small_enough(needed, BROADCAST_ROWS), "text_hash").select("c", "text")
+        return written(own.mapInArrow(_sets(k), "c long, shingles array<long>").dropDuplicates(["c"]), "sets")
+
+    small, large = branched(classes, trees, leaf, levels)
+    release(docs.sparkSession)
+    # In each large node of the first trees, a class and its nearest pivot.
+    early = to_pivots(large.where(F.col("tree") < EARLY_TREES), pivots, (F.col("a.c") != F.col("b.c")) & _may_link(percent / 100))
+    early = early.groupBy(F.col("a.c").alias("u")).agg(F.min(F.struct(_apart().alias("apart"), F.col("b.c").alias("v"))).alias("x")).select("u", "x.v")
+    early = written(early, "early")
+    early = components(_confirmed(early, sets_of(early), percent))
+    large = large.join(early.select(F.col("u").alias("c"), F.col("v").alias("root")), "c", "left").withColumn("root", F.coalesce("root", "c"))
+    pairs = written(candidates(small, written(large, "large"), percent / 100, leaf, pivots), "pairs")
+    release(docs.sparkSession)
+    sets = sets_of(pairs)
     # First, for each class, its nearest pair upwards: most of the other pairs are then within a component and need no look.
     nearest = pairs.groupBy("u").agg(F.min(F.struct("apart", "v")).alias("x")).select("u", "x.v")
-    joined = components(_confirmed(nearest, sets, percent))
+    joined = components(_confirmed(nearest, sets, percent).unionByName(early))
     rest = pairs.join(joined.select("u", F.col("v").alias("u_root")), "u", "left").withColumn("u_root", F.coalesce("u_root", "u"))
     rest = rest.join(joined.select(F.col("u").alias("v"), F.col("v").alias("v_root")), "v", "left").withColumn("v_root", F.coalesce("v_root", "v"))
     rest = written(rest.where("u_root <> v_root").select("u", "v", "u_root", "v_root"), "rest")
