@@ -72,14 +72,12 @@ def substring_dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
             at, hashes = _anchors(words, width)
             yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), _column(batch, "key").take(pa.array(words.text[at]))], ["anchor", "key"])
 
-    table = new_folder(spark, "all-anchors")
-    keyed.select("key", "text").mapInArrow(anchors, "anchor long, key long").write.parquet(table)
-    found = spark.read.schema("anchor long, key long").parquet(table)
+    # Hashed twice, not written: a table of all anchors is as large as the texts.
+    found = keyed.select("key", "text").mapInArrow(anchors, "anchor long, key long")
     # Rows, not texts, are counted: a few anchors too many cost a look and no error.
     shared = written(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors")
     release(spark)
     mine = written(found.join(shared, "anchor").groupBy("key").agg(F.collect_set("anchor").alias("anchors")), "shared")
-    deleted(spark, table)
     release(spark)
 
     def near(words: Words, lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
