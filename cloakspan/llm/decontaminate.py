@@ -1,24 +1,36 @@
 """Benchmark decontamination by spaced seeds.
 
-A mask such as 110110111 is slid over the words of the benchmark items and of the training texts; words under a 0 do
-not matter. Equal masked hashes are hits, so that a hit survives substituted words. Each hit fixes an alignment of the
-item to the text, and the words around the hit are compared one by one: enough equal words in a stretch make an
-overlap. All steps are DataFrame functions.
+A mask such as 11010011 is slid over the words of the benchmark items and of the training texts; words under a 0 do
+not matter. Equal masked hashes are hits, so that a hit survives substituted words; the masks together hit every
+stretch that is an overlap, wherever the words that differ are. Each hit fixes an alignment of the item to the text,
+and the words around the hit are compared one by one: enough equal words in a stretch make an overlap. All steps are
+DataFrame functions.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import BROADCAST_ROWS, alnum_words, small_enough
 
-#: 1: the word must be equal; 0: it may differ. Either tolerates a substitution that the other's ones would meet.
-MASKS = ("110110111", "111011011")
+#: 1: the word must be equal; 0: it may differ. Of 10 words of which any two differ, or 9 of which any one does, one mask at least is met.
+MASKS = ("11111", "111011", "11010011")
+#: Items of fewer words (and than the window) must be met word for word.
+SHORT = 9
+
+#: Up to so many seeds and word pairs of the benchmark go into the plan as sets that drop other places early.
+SET_ROWS = 50_000
 
 
-#: Up to so many seeds and word pairs of the benchmark go into the plan as a set that drops other places early.
-SET_ROWS = 20_000
+def masks_for(window: int, min_equal: float) -> tuple[str, ...]:
+    """Masks that hit every stretch of up to `window` words that is an overlap: MASKS if they do, else the run of words that must be left."""
+    apart = {n: n - math.ceil(min_equal * n) for n in range(min(SHORT, window), window + 1)}
+    if window >= SHORT and all(k <= (1 if n < 10 else 2) for n, k in apart.items()):
+        return MASKS
+    return ("1" * max(1, min(math.ceil((n - k) / (k + 1)) for n, k in apart.items())),)
 
 
 def _seed(hashes: str, mask: str, m: int, i: Column) -> Column:
@@ -26,47 +38,51 @@ def _seed(hashes: str, mask: str, m: int, i: Column) -> Column:
     return F.when(i + len(mask) <= F.size(hashes), F.xxhash64(F.lit(m), *[F.get(hashes, i + j) for j, x in enumerate(mask) if x == "1"]))
 
 
-def _placed(df: DataFrame, words: str, masks: list[tuple[int, str]], opens: list[tuple[int, int]] | None = None) -> DataFrame:
-    """df with a row for each word place and mask: place, seed. opens: hashes of first words, and of first and second, worth a look."""
-    seeds = lambda i: F.array(*[F.struct(i.alias("place"), _seed("hashes", x, m, i).alias("seed")) for m, x in masks])
+def _placed(df: DataFrame, words: str, masks: list[tuple[int, str]], opens: list[tuple[int, int]] | None = None, known: list[int] | None = None) -> DataFrame:
+    """df with a row for each word place and mask: place, m, seed. opens: hashes of first words, and of first and second, worth a look; known: seeds worth a row."""
+    seeds = lambda i: F.array(*[F.struct(i.alias("place"), F.lit(m).alias("m"), _seed("hashes", x, m, i).alias("seed")) for m, x in masks])
     df = df.withColumn("hashes", F.transform(words, lambda w: F.xxhash64(w)))
     if opens is None:
-        df = df.withColumn("seeds", F.transform("hashes", lambda _, i: seeds(i)))
+        df = df.withColumn("seeds", F.flatten(F.transform("hashes", lambda _, i: seeds(i))))
     else:
         firsts, pairs = (",".join(map(str, sorted({x[k] for x in opens}))) for k in (0, 1))
         df = df.withColumn("near", F.expr(f"filter(transform(hashes, (h, i) -> CASE WHEN h IN ({firsts}) AND xxhash64(h, get(hashes, i + 1)) IN ({pairs}) THEN i END), i -> i IS NOT NULL)"))
-        df = df.withColumn("seeds", F.transform("near", seeds)).drop("near")
+        df = df.withColumn("seeds", F.flatten(F.transform("near", seeds))).drop("near")
+    if known:
+        df = df.withColumn("seeds", F.expr(f"filter(seeds, s -> s.seed IN ({','.join(map(str, known))}))"))
     # explode_outer: for explode() the optimizer would add a size filter and push it, with all that it is made of, to the scan.
-    df = df.withColumn("s", F.explode_outer(F.flatten("seeds"))).drop("seeds", "hashes")
+    df = df.withColumn("s", F.explode_outer("seeds")).drop("seeds", "hashes")
     return df.select("*", "s.*").drop("s").where("seed is not null")
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, window: int = 13, min_equal: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] | None = None, window: int = 13, min_equal: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per pair of a text and a benchmark item that share an overlap: id, text_hash, item, n_equal, n_aligned, first_word.
 
     An overlap is a stretch of `window` aligned words (all of a shorter item) around a hit, of which `min_equal` or
     more are equal. n_equal and n_aligned count the aligned words of the best alignment; first_word is the place in
     the text where the item begins or would begin.
-    Null or empty texts and items overlap with nothing. Items shorter than a mask must be met word for word. Texts
-    equal in id and text give one row. Empty tables: no rows. Other columns are ignored.
+    Null or empty texts and items overlap with nothing. Items of fewer than SHORT words must be met word for word. Texts
+    equal in id and text give one row. Empty tables: no rows. Other columns are ignored. Masks other than those of
+    masks_for() may miss overlaps.
     The seeds of the benchmark are broadcast up to a checked number of rows; beyond it the same join shuffles.
     """
     items = benchmark.select(F.col(item_col).alias("item"), alnum_words(F.col(item_text_col)).alias("item_words")).where(F.size("item_words") > 0).distinct()
-    # Items shorter than a mask are met whole, by a mask of their own length; there are a handful of such lengths.
-    short = sorted(r[0] for r in items.select(F.size("item_words").alias("n")).where(F.col("n") < min(map(len, masks))).distinct().collect())
+    masks, least = masks or masks_for(window, min_equal), min(SHORT, window)
+    # Short items are met whole, by a mask of their own length; there are a handful of such lengths.
+    short = sorted(r[0] for r in items.select(F.size("item_words").alias("n")).where(F.col("n") < least).distinct().collect())
     every = [*enumerate(masks), *((-n, "1" * n) for n in short)]
-    known = _placed(items, "item_words", every).select("item", "item_words", F.col("place").alias("item_at"), F.col("seed").alias("item_seed"), F.size("item_words").alias("n"))
-    if short:
-        known = known.where((F.col("n") >= min(map(len, masks))) | (F.col("item_at") == 0))
-    known = known.drop("n")
+    n = F.size("item_words")
+    known = _placed(items, "item_words", every).where(((n >= least) & (F.col("m") >= 0)) | ((n < least) & (F.col("m") == -n) & (F.col("place") == 0)))
+    known = known.select("item", "item_words", F.col("place").alias("item_at"), F.col("seed").alias("item_seed"))
     # Masks that begin with two ones can't hit where the first two words open no seed of the benchmark.
     hashed = items.select(F.transform("item_words", lambda w: F.xxhash64(w)).alias("h"))
     opens = hashed.select(F.explode_outer(F.transform("h", lambda h, i: F.struct(h.alias("first"), F.xxhash64(h, F.get("h", i + 1)).alias("pair")))).alias("x")).select("x.*").distinct().limit(SET_ROWS + 1).collect()
     usable = 0 < len(opens) <= SET_ROWS and all(x[:2] in ("1", "11") for _, x in every)
     opens = [(r.first, r.pair) for r in opens] if usable else None
+    seeds = sorted(r[0] for r in known.select("item_seed").distinct().limit(SET_ROWS + 1).collect())
     known = small_enough(known, BROADCAST_ROWS // 10)
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), alnum_words(F.col(text_col)).alias("words"))
-    placed = _placed(texts, "words", every, opens).withColumnRenamed("place", "at")
+    placed = _placed(texts, "words", every, opens, seeds if len(seeds) <= SET_ROWS else None).withColumnRenamed("place", "at").drop("m")
     hits = placed.join(known, F.col("seed") == F.col("item_seed"))
     # The stretch of both that is aligned by the hit, cut to where both have words.
     start = F.col("at") - F.col("item_at")

@@ -1,4 +1,6 @@
+import math
 import random
+from itertools import combinations
 
 import duckdb
 import pytest
@@ -72,6 +74,34 @@ def test_overlaps_with_substitutions(spark):
     assert D.overlaps(table(spark, []), bench).count() == 0
 
 
+def test_every_pattern_of_substitutions_is_met(spark):
+    docs, items, expected = [], [], set()
+    for n in (9, 10, 11, 12, 13):
+        own = [f"w{n}x{i}" for i in range(n)]
+        items.append((n, " ".join(own)))
+        for k in range(4):
+            for differ in combinations(range(n), k):
+                docs.append((len(docs), " ".join("new" if i in differ else w for i, w in enumerate(own))))
+                if n - k >= 0.8 * n:
+                    expected.add((docs[-1][0], n))
+    for n in (20, 30, 50, 100):
+        own = [f"v{n}x{i}" for i in range(n)]
+        items.append((n, " ".join(own)))
+        for phase in range(5):
+            docs.append((len(docs), "before " + " ".join("new" if i % 5 == phase else w for i, w in enumerate(own))))
+            expected.add((docs[-1][0], n))
+    found = D.overlaps(table(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == expected
+
+
+@pytest.mark.parametrize(("window", "min_equal"), [(13, 0.8), (9, 0.8), (14, 0.8), (20, 0.8), (6, 0.7), (15, 0.9)])
+def test_masks_hit_every_overlap(window, min_equal):
+    masks = D.masks_for(window, min_equal)
+    for n in range(min(D.SHORT, window), window + 1):
+        for differ in combinations(range(n), n - math.ceil(min_equal * n)):
+            assert any(all(x == "0" or at + j not in differ for j, x in enumerate(m)) for m in masks for at in range(n - len(m) + 1)), (n, differ)
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
