@@ -1,69 +1,90 @@
 """Line dedup by a segment-partition edit join.
 
-Two lines within `edits` edits that are cut into edits + 1 segments share one segment unchanged, at a place that their
-lengths and the number of edits bound. So each distinct line is indexed by its segments under (length, segment number)
-and probes the indexes of its own and slightly smaller lengths with its substrings at those places. For one edit, lines
-that meet there must meet again on all but an eighth of the line. Pairs that do are verified by the banded bit-parallel
-edit distance. All steps are DataFrame functions.
+Two lines within `edits` edits that are cut into edits + 1 segments share one segment unchanged, at a place that the
+number of edits bounds. So each distinct line is indexed by its segments under (size, segment number) and probes the
+index with its substrings at those places. Lines that meet there are cut into more segments and must meet again on
+several of them at once. Pairs that do are verified by the banded bit-parallel edit distance, the likeliest of a line
+first. All steps are DataFrame functions.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import BROADCAST_ROWS, clash_free, release, small_enough, written
 
 
-def _cut(length: Column, i: int, edits: int) -> tuple[Column, Column]:
-    """Begin (from 0) and size of segment i of a line of that length: even segments, the longer ones last."""
-    size, longer = F.floor(length / (edits + 1)).cast("int"), (length % (edits + 1)).cast("int")
-    ahead = F.greatest(F.lit(0), F.lit(i) - (edits + 1 - longer))
-    return size * i + ahead, size + F.when(F.lit(i) >= edits + 1 - longer, 1).otherwise(0)
-
-
-def _index(line: str, length: str, edits: int) -> Column:
-    """Keys of the line's own segments."""
-    keys = []
-    for i in range(edits + 1):
-        begin, size = _cut(F.col(length), i, edits)
-        keys.append(F.xxhash64(F.col(length), F.lit(i), F.substring(line, begin + 1, size)))
-    return F.array(*keys)
-
+#: Near copies of a line: a word or number of a few letters changed, also in two or three places.
+EDITS = 3
+#: So many segments are compared at once when lines that share one are looked at again.
+AGAIN = 2
 
-def _probes(line: str, length: str, edits: int) -> Column:
-    """Keys of the substrings that can equal a segment of a line as long or up to `edits` shorter."""
-    keys = []
-    for shorter in range(edits + 1):
-        other = F.col(length) - shorter
-        for i in range(edits + 1):
-            begin, size = _cut(other, i, edits)
-            # Edits left of the segment, and those right of it less the difference in length, bound the shift.
-            low, high = max(-i, shorter - (edits - i)), min(i, shorter + (edits - i))
-            for shift in range(low, high + 1):
-                fits = (begin + shift >= 0) & (begin + shift + size <= F.col(length))
-                keys.append(F.when(fits, F.xxhash64(other, F.lit(i), F.substring(line, begin + shift + 1, size))))
-    return F.array_distinct(F.array_compact(F.array(*keys)))
 
+def _sizes(length: str, edits: int, parts: int) -> list[str]:
+    """SQL of the segment sizes of the line's own class of length (first), and of the classes of lines within `edits` of its length.
 
-#: How often the segment that need not match is halved again for one edit: a key leaves out an eighth of the line.
-HALVINGS = 2
+    A class goes up to 1.2 times its shortest line, whose size of segments all have, so that nearly equal lengths are cut alike.
+    """
+    return [f"CAST(floor(pow(1.2D, floor(ln(greatest(1, {length} + {d})) / ln(1.2D))) / {parts}) AS int)" for d in (0, -edits, edits)]
 
 
-def _all_but_one(line: str, length: str) -> tuple[Column, Column]:
-    """For one edit: own keys and further probes.
+def _moves(edits: int, same: int) -> list[list[tuple[int, int]]]:
+    """For edits + same segments: (number, shift) of `same` that may be without an edit, with each shift they may have.
 
-    One of two segments holds the edit. It is cut in two again, and again, so that a key is the whole line but its
-    i-th part of 2 ** (HALVINGS + 1); lines that differ in two places meet only if both are in one such part.
+    Segments of the first half are counted from the line's begin and the others from its end, and what is between
+    belongs to the last of the first half. A shift comes of edits further out in the same half, an edit for each place.
     """
-    parts = 2 ** (HALVINGS + 1)
-    own, probes = [], []
-    for i in range(parts):
-        for shorter, keys in ((0, own), (1, probes)):
-            begin, size = _cut(F.col(length) - shorter, i, parts - 1)
-            rest = F.col(length) - begin - size - shorter
-            keys.append(F.xxhash64(F.col(length) - shorter, F.lit(i), F.substring(line, F.lit(1), begin), F.substring(line, begin + size + 1 + shorter, rest)))
-    return F.array(*own), F.array(*probes)
+    parts, out = edits + same, []
+    half = (parts + 1) // 2
+
+    def ways(left: list[int], untouched: set[int], budget: int, shift: int = 0) -> list[tuple[list[tuple[int, int]], int]]:
+        if not left:
+            return [([], 0)]
+        i, *rest = left
+        if i in untouched:
+            return [([(i, shift), *w], n) for w, n in ways(rest, untouched, budget, shift)]
+        return [(w, n + abs(d)) for d in range(-budget, budget + 1) for w, n in ways(rest, untouched, budget - abs(d), shift + d)]
+
+    for chosen in combinations(range(parts), same):
+        for a, x in ways(list(range(half)), set(chosen), edits):
+            for b, y in ways(list(range(parts - 1, half - 1, -1)), set(chosen), edits):
+                if x + y <= edits and (found := sorted(a + b)) not in out:
+                    out.append(found)
+    if same == 1:
+        # Some segment i has no edit while exactly i edits are left of it.
+        out = [[(i, d)] for ((i, d),) in out if abs(d) <= (i if i < half else edits - i)]
+    return out
+
+
+def _begin(i: str, size: str, length: str, parts: int) -> str:
+    return f"IF({i} < {(parts + 1) // 2}, {size} * {i}, {length} - {size} * ({parts} - {i}))"
+
+
+def _one_segment_keys(line: str, length: str, edits: int) -> Column:
+    """Keys of single segments, of which two lines within `edits` edits share one that is the own one of either."""
+    parts, keys = edits + 1, []
+    for n, size in enumerate(sizes := _sizes(length, edits, parts)):
+        for ((i, d),) in _moves(edits, 1):
+            begin = f"({_begin(str(i), size, length, parts)} + {d})"
+            other = f"{size} <> {sizes[0]} AND " if n else ""
+            keys.append(f"IF({other}{begin} >= 0 AND {begin} + {size} <= {length}, xxhash64({size}, {i}, substring({line}, {begin} + 1, {size})), NULL)")
+    return F.array_distinct(F.array_compact(F.array(*map(F.expr, keys))))
+
+
+def _segment_keys(line: str, length: str, edits: int, same: int) -> Column:
+    """k, is_own: keys of `same` segments, of which two lines within `edits` edits share one that is the own one of either."""
+    parts = edits + same
+    moves = ",".join("array(" + ",".join(f"named_struct('i', {i}, 'd', {d})" for i, d in m) + ")" for m in _moves(edits, same))
+    begin = f"{_begin('m.i', 'size', length, parts)} + m.d"
+    pieces = f"transform(ms, m -> IF({begin} >= 0 AND {begin} + size <= {length}, substring({line}, {begin} + 1, size), NULL))"
+    key = f"named_struct('k', xxhash64(size, transform(ms, m -> m.i), pieces), 'is_own', size = sizes[0] AND forall(ms, m -> m.d = 0))"
+    found = f"element_at(transform(array({pieces}), pieces -> IF(exists(pieces, p -> p IS NULL), NULL, {key})), 1)"
+    keys = f"flatten(transform(sizes, size -> transform(array({moves}), ms -> {found})))"
+    sizes = f"array_distinct(array({','.join(_sizes(length, edits, parts))}))"
+    return F.array_distinct(F.expr(f"element_at(transform(array({sizes}), sizes -> filter({keys}, x -> x IS NOT NULL)), 1)"))
 
 
 def with_edit_distance(pairs: DataFrame, a: str, b: str, edits: int, out: str = "distance") -> DataFrame:
@@ -96,7 +117,7 @@ def with_edit_distance(pairs: DataFrame, a: str, b: str, edits: int, out: str =
     return rows.withColumn(out, F.least(distance, F.lit(edits + 1))).drop(p, t, m, n)
 
 
-def repeated_lines(docs: DataFrame, edits: int = 1, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """key, text_hash, gone: for each row (by id and text) that has some, the numbers (from 0) of its repeated lines.
 
     A line is repeated if an equal line, or one of min_chars or more within `edits` edits (this line having min_chars
@@ -110,34 +131,44 @@ def repeated_lines(docs: DataFrame, edits: int = 1, min_chars: int = 20, id_col:
     first = F.min(F.struct("key", "text_hash", "at")).alias("first")
     long = F.char_length("line") >= min_chars
     # The segments of all lines come first, few keys a line; only lines that share a segment with another line are read again.
-    keys = F.when(F.col("length") >= min_chars, F.array_distinct(F.concat(_index("line", "length", edits), _probes("line", "length", edits)))).alias("keys")
+    keys = F.when(F.col("length") >= min_chars, _one_segment_keys("line", "length", edits)).alias("keys")
     each = placed.withColumn("length", F.char_length("line")).select("key", "text_hash", "at", *hashed, keys)
     distinct = written(each.groupBy("h1", "h2").agg(first, F.first("keys").alias("keys")), "lines")
-    segments = distinct.select("h1", "h2", "first", F.explode("keys").alias("k"))
-    shared = written(segments.groupBy("k").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a < b").select("k"), "segments")
+    release(spark)
+    segments = distinct.select("h1", "h2", F.explode("keys").alias("k"))
+    shared = written(segments.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k"), "segments")
     release(spark)
     suspects = written(segments.join(small_enough(shared, BROADCAST_ROWS), "k").drop("k").dropDuplicates(["h1", "h2"]), "suspects")
-    wanted = placed.where(long).select("line", *hashed).join(small_enough(suspects, BROADCAST_ROWS // 4), ["h1", "h2"])
-    wanted = written(wanted.groupBy("h1", "h2").agg(F.first("line").alias("line"), F.first("first").alias("first")), "wanted")
+    wanted = placed.where(long).select("key", "text_hash", "at", "line", *hashed).join(small_enough(suspects, BROADCAST_ROWS // 4), ["h1", "h2"])
+    wanted = written(wanted.groupBy("h1", "h2").agg(F.first("line").alias("line"), first), "wanted")
     release(spark)
 
     lines = wanted.withColumn("length", F.char_length("line"))
-    own, probes = _all_but_one("line", "length") if edits == 1 else (_index("line", "length", edits), _probes("line", "length", edits))
-    marked = lambda keys, is_own: F.transform(keys, lambda x: F.struct(x.alias("k"), F.lit(is_own).alias("is_own")))
-    each = lines.select("h1", F.explode(F.concat(marked(own, True), marked(probes, False))).alias("x")).select("h1", "x.k", "x.is_own")
+    each = lines.select("h1", F.explode(_segment_keys("line", "length", edits, AGAIN)).alias("x")).select("h1", "x.k", "x.is_own")
     # Keys of one line only, nearly all, fall away in the aggregate.
     shared = written(each.groupBy("k").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a < b").select("k"), "segments")
     release(spark)
     kept = written(each.join(small_enough(shared, BROADCAST_ROWS), "k").distinct(), "segments")
     met = kept.where("is_own").alias("a").join(kept.alias("b"), F.col("a.k") == F.col("b.k")).where(F.col("a.h1") != F.col("b.h1")).where(~F.col("b.is_own") | (F.col("a.h1") < F.col("b.h1")))
-    pairs = written(met.select(F.least("a.h1", "b.h1").alias("x"), F.greatest("a.h1", "b.h1").alias("y")).distinct(), "line-pairs")
+    pairs = met.groupBy(F.least("a.h1", "b.h1").alias("x"), F.greatest("a.h1", "b.h1").alias("y")).agg(F.count("*").alias("n"))
+    of = lambda side: wanted.select(F.col("h1").alias(side), F.col("first").alias(f"{side}_first"), F.char_length("line").alias(f"{side}_length"))
+    pairs = pairs.join(of("x"), "x").join(of("y"), "y").where(F.abs(F.col("x_length") - F.col("y_length")) <= edits)
+    ahead = F.col("x_first") < F.col("y_first")
+    pairs = written(pairs.select(F.when(ahead, F.col("x")).otherwise(F.col("y")).alias("early"), F.when(ahead, F.col("y")).otherwise(F.col("x")).alias("late"), "n"), "line-pairs")
     release(spark)
 
-    of = lambda side: wanted.select(F.col("h1").alias(side), F.col("h2").alias(f"{side}2"), F.col("line").alias(f"{side}_line"), F.col("first").alias(f"{side}_first"))
-    near = with_edit_distance(pairs.join(of("x"), "x").join(of("y"), "y"), "x_line", "y_line", edits)
-    near = written(near.drop("x_line", "y_line"), "measured").where(F.col("distance") <= edits)
-    later = F.when(F.col("x_first") < F.col("y_first"), F.struct(F.col("y").alias("h1"), F.col("y2").alias("h2"))).otherwise(F.struct(F.col("x").alias("h1"), F.col("x2").alias("h2")))
-    linked = written(near.select(later.alias("l")).select("l.*").distinct().withColumn("linked", F.lit(True)), "linked")
+    def measured(pairs: DataFrame) -> DataFrame:
+        of = lambda side: wanted.select(F.col("h1").alias(side), F.col("line").alias(f"{side}_line"))
+        near = with_edit_distance(pairs.join(of("early"), "early").join(of("late"), "late"), "early_line", "late_line", edits)
+        # Written before it is filtered: a filter would be pushed down with a copy of all steps.
+        return written(near.drop("early_line", "late_line"), "measured").where(F.col("distance") <= edits).select("late").distinct()
+
+    # One near line ahead is enough: that with the most keys in common is measured first, and the others where it is too far.
+    likely = pairs.groupBy("late").agg(F.max_by("early", F.struct("n", "early")).alias("early"))
+    soon = measured(likely)
+    release(spark)
+    found = soon.unionByName(measured(pairs.join(soon, "late", "left_anti").select("early", "late")))
+    linked = written(found.select(F.col("late").alias("h1")).distinct().join(wanted.select("h1", "h2"), "h1").withColumn("linked", F.lit(True)), "linked")
     release(spark)
 
     verdict = distinct.drop("keys").join(linked, ["h1", "h2"], "left")
@@ -146,7 +177,7 @@ def repeated_lines(docs: DataFrame, edits: int = 1, min_chars: int = 20, id_col:
     return written(gone.groupBy("key", "text_hash").agg(F.collect_set("at").alias("gone")), "gone")
 
 
-def line_dedup(docs: DataFrame, edits: int = 1, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text", counts: bool = False, drop_emptied: bool = False) -> DataFrame:
+def line_dedup(docs: DataFrame, edits: int = EDITS, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text", counts: bool = False, drop_emptied: bool = False) -> DataFrame:
     """docs with their repeated lines (see repeated_lines) taken out of the text; columns and rows stay, texts shrink.
 
     counts adds n_lines and n_removed. drop_emptied leaves out rows of which nothing but blank lines is left (rows that

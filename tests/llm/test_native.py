@@ -160,6 +160,33 @@ def test_lines_against_brute_force(spark, edits):
     assert out[None] is None
 
 
+def test_near_copies_of_lines_go_by_default(spark):
+    line = "in the year 1987 the company moved its head office to the north of the city, where it had 45 workers"
+    near = [line.replace("87", "92"), line.replace(" to ", " at "), line.replace("1987", "1972").replace("45", "44"), line.replace("year ", "years ").replace("city", "cits")]
+    far = line.replace("1987", "2012").replace("45", "36")
+    out = LD.line_dedup(table(spark, [(1, line), *((2 + k, x) for k, x in enumerate([*near, far]))]))
+    assert {r.doc_id for r in out.collect() if r.text} == {1, 6}
+
+
+@pytest.mark.parametrize("edits", [1, 2, 3])
+@pytest.mark.parametrize("length", [20, 21, 22, 29, 36, 60])
+def test_lines_within_the_edits_share_keys(spark, edits, length):
+    rng, pairs = random.Random(length), []
+    for _ in range(300):
+        a = [rng.choice("abcdefghijklmnop") for _ in range(length)]
+        b = list(a)
+        for _ in range(edits):
+            k = rng.randrange(len(b))
+            b[k : k + 1] = rng.choice([[], ["x"], ["y", b[k]]])
+        pairs.append(("".join(a), "".join(b)))
+    df = spark.createDataFrame(pairs, "a string, b string").withColumns({"la": F.char_length("a"), "lb": F.char_length("b")})
+    assert df.where(F.size(F.array_intersect(LD._one_segment_keys("a", "la", edits), LD._one_segment_keys("b", "lb", edits))) == 0).count() == 0
+    own = lambda keys: F.transform(F.filter(keys, lambda x: x["is_own"]), lambda x: x["k"])
+    ks = lambda keys: F.transform(keys, lambda x: x["k"])
+    ka, kb = (LD._segment_keys(x, f"l{x}", edits, LD.AGAIN) for x in "ab")
+    assert df.where((F.size(F.array_intersect(own(ka), ks(kb))) == 0) & (F.size(F.array_intersect(ks(ka), own(kb))) == 0)).count() == 0
+
+
 def test_line_cases(spark):
     rows = [(5, "one line\nother line"), (6, "one line"), (7, "one line\n\nmine"), (8, ""), (None, "one line\nlast"), (None, None)]
     out = LD.line_dedup(table(spark, rows), counts=True)
