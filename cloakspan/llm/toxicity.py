@@ -62,11 +62,12 @@ def _swaps(words: list[str]) -> list[tuple[str, str]]:
     return [(t, o) for t in words if t in TERMS for o in IDENTITY_TERMS[TERMS[t]] if o != t]
 
 
-def fit(rows: list[tuple[set[str], int]], fair: float = 50.0, l1: float = 2e-4, steps: int = 800, least: float = 1.5) -> ToxicityModel:
+def fit(rows: list[tuple[set[str], int]], fair: float = 50.0, l1: float = 2e-4, steps: int = 800, least: float = 1.5, weigh: tuple[float, float] = (1.0, 1.0)) -> ToxicityModel:
     """rows: the words and the label of each text. fair: the weight of the squared score changes under swaps.
 
     The L1 penalty is l1, or as much as `least` texts weigh if that is more. Words that speak for toxicity are taken,
-    and identity terms whatever they speak for.
+    and identity terms whatever they speak for. weigh: how many labelled texts a row of class 0 and one of class 1
+    stands for, so that the odds are those of all labelled texts whatever the sample has of each class.
 
     With one class only, or no rows, the model says the share of the class for all.
     """
@@ -85,13 +86,16 @@ def fit(rows: list[tuple[set[str], int]], fair: float = 50.0, l1: float = 2e-4,
     chosen = sorted({*strong, *(t for t in TERMS if t in odds)})
     at = {w: k for k, w in enumerate(chosen)}
     x, y = np.zeros((len(rows), len(chosen)), np.float32), np.array([y for _, y in rows], np.float32)
+    counted = np.where(y > 0, weigh[1], weigh[0])
+    counted = counted / counted.mean()
     swaps: Counter = Counter()
     for r, (words, _) in enumerate(rows):
         own = [w for w in words if w in at]
         x[r, [at[w] for w in own]] = 1
-        swaps.update((at[t], at.get(o, -1)) for t, o in _swaps(own))
+        for t, o in _swaps(own):
+            swaps[at[t], at.get(o, -1)] += counted[r]
     # The penalty is a graph of terms; its step is taken exactly. A term that isn't in the sample weighs 0.
-    rate = 4.0 / (1 + float((x**2).sum(1).mean()))
+    rate = 4.0 / (1 + float(((x**2).sum(1) * counted).mean()))
     terms = sorted({a for a, _ in swaps})
     spot = {a: k for k, a in enumerate(terms)}
     pull = np.eye(len(terms))
@@ -102,21 +106,21 @@ def fit(rows: list[tuple[set[str], int]], fair: float = 50.0, l1: float = 2e-4,
             pull[spot[b], spot[b]] += share
             pull[spot[a], spot[b]] -= share
             pull[spot[b], spot[a]] -= share
-    w, v, bias, momentum = np.zeros(len(chosen)), np.zeros(len(chosen)), float(np.log(n1 / n0)), 1.0
+    w, v, bias, momentum = np.zeros(len(chosen)), np.zeros(len(chosen)), float(np.log(n1 * weigh[1] / (n0 * weigh[0]))), 1.0
     for _ in range(steps):  # proximal gradient with momentum
         p = 1 / (1 + np.exp(-np.clip(x @ v.astype(np.float32) + bias, -30, 30)))
-        moved = v - rate * (x.T @ (p - y)) / len(rows)
+        moved = v - rate * (x.T @ (counted * (p - y))) / len(rows)
         moved[terms] = np.linalg.solve(pull, moved[terms])
         new = np.sign(moved) * np.maximum(np.abs(moved) - rate * l1, 0)
-        bias -= rate * float((p - y).mean())
+        bias -= rate * float((counted * (p - y)).mean())
         after = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
         v, w, momentum = new + (momentum - 1) / after * (new - w), new, after
     return ToxicityModel(bias, {c: float(k) for c, k in zip(chosen, w, strict=True) if abs(k) > 1e-6})
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic") -> ToxicityModel:
-    """Learns from at most about per_class rows of each class, never from the held-out fold."""
-    sample, _ = labelled_sample(docs, labels, label, per_class, id_col, text_col)
+    """Learns from at most about per_class rows of each class, weighted by what they stand for, never from the held-out fold."""
+    sample, counts = labelled_sample(docs, labels, label, per_class, id_col, text_col)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,7 +140,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([sorted(words_of(t) & known) for t in batch.column(0).to_pylist()], pa.list_(pa.string())), batch.column(1)], ["words", "y"])
 
-    return fit([(set(r.words), int(r.y)) for r in sample.mapInArrow(keep, kind).collect()])
+    # A class that is sampled counts for all of its rows.
+    weigh = tuple(max(1.0, counts.get(k, 0) / per_class) for k in (0, 1))
+    return fit([(set(r.words), int(r.y)) for r in sample.mapInArrow(keep, kind).collect()], weigh=weigh)
 
 
 def score(model: ToxicityModel, text: Column) -> Column:

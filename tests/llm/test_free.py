@@ -206,6 +206,20 @@ def test_toxicity(spark):
     assert {r.predicted for r in X.toxicity(table(spark, docs[:5]), marks.limit(0)).collect()} == {0}
 
 
+def test_toxicity_of_a_capped_sample(spark):
+    rng, docs, labels = random.Random(9), [], []
+    for i in range(3000):
+        own, bad = words(12, i), i % 10 == 0
+        own += ["scumx"] * (rng.random() < (0.6 if bad else 0.3)) + ["idiotish"] * (bad and rng.random() < 0.5)
+        docs.append((i, " ".join(own)))
+        labels.append((i, int(bad)))
+    docs, marks = table(spark, docs), spark.createDataFrame(labels, "doc_id long, toxic int")
+    whole, capped = X.train(docs, marks), X.train(docs, marks, per_class=150)
+    for text in ("", "scumx", "idiotish", "scumx idiotish"):
+        assert (capped.score(text) >= 0.3) == (whole.score(text) >= 0.3), text
+    assert abs(capped.score("scumx") - whole.score("scumx")) < 0.1
+
+
 def test_quality(spark):
     docs = [(i, " ".join(w.upper() + "!!" for w in words(40, i)) if i % 5 == 0 else " ".join(words(40, i)).capitalize() + ".") for i in range(400)]
     marks = spark.createDataFrame([(i, int(i % 5 > 0)) for i in range(400)], "doc_id long, quality int")
