@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import release, written
+from .shared import deleted, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -25,7 +25,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """u, v: each node that isn't its component's smallest, with that smallest node. edges: long columns u, v; empty: none.
 
-    Each round is written, so that a lost executor repeats no more than it.
+    Each round is written, so that a lost executor repeats no more than it. The result is a table of written().
     """
     now = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
     state = None
@@ -34,5 +34,5 @@ def components(edges: DataFrame) -> DataFrame:
         if mark == state or not mark.n:
             return now
         state = mark
-        now = written(_small_star(_large_star(now)), "edges")
-        release(edges.sparkSession)
+        before, now = now, written(_small_star(_large_star(now)), "edges")
+        deleted(before)

@@ -14,7 +14,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_ROWS, clash_free, release, small_enough, written
+from .shared import BROADCAST_ROWS, clash_free, small_enough, written
 
 
 #: Near copies of a line: a word or number of a few letters changed, also in two or three places.
@@ -134,20 +134,16 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = 20, id_
     keys = F.when(F.col("length") >= min_chars, _one_segment_keys("line", "length", edits)).alias("keys")
     each = placed.withColumn("length", F.char_length("line")).select("key", "text_hash", "at", *hashed, keys)
     distinct = written(each.groupBy("h1", "h2").agg(first, F.first("keys").alias("keys")), "lines")
-    release(spark)
     segments = distinct.select("h1", "h2", F.explode("keys").alias("k"))
     shared = written(segments.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k"), "segments")
-    release(spark)
     suspects = written(segments.join(small_enough(shared, BROADCAST_ROWS), "k").drop("k").dropDuplicates(["h1", "h2"]), "suspects")
     wanted = placed.where(long).select("key", "text_hash", "at", "line", *hashed).join(small_enough(suspects, BROADCAST_ROWS // 4), ["h1", "h2"])
     wanted = written(wanted.groupBy("h1", "h2").agg(F.first("line").alias("line"), first), "wanted")
-    release(spark)
 
     lines = wanted.withColumn("length", F.char_length("line"))
     each = lines.select("h1", F.explode(_segment_keys("line", "length", edits, AGAIN)).alias("x")).select("h1", "x.k", "x.is_own")
     # Keys of one line only, nearly all, fall away in the aggregate.
     shared = written(each.groupBy("k").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a < b").select("k"), "segments")
-    release(spark)
     kept = written(each.join(small_enough(shared, BROADCAST_ROWS), "k").distinct(), "segments")
     met = kept.where("is_own").alias("a").join(kept.alias("b"), F.col("a.k") == F.col("b.k")).where(F.col("a.h1") != F.col("b.h1")).where(~F.col("b.is_own") | (F.col("a.h1") < F.col("b.h1")))
     pairs = met.groupBy(F.least("a.h1", "b.h1").alias("x"), F.greatest("a.h1", "b.h1").alias("y")).agg(F.count("*").alias("n"))
@@ -155,7 +151,6 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = 20, id_
     pairs = pairs.join(of("x"), "x").join(of("y"), "y").where(F.abs(F.col("x_length") - F.col("y_length")) <= edits)
     ahead = F.col("x_first") < F.col("y_first")
     pairs = written(pairs.select(F.when(ahead, F.col("x")).otherwise(F.col("y")).alias("early"), F.when(ahead, F.col("y")).otherwise(F.col("x")).alias("late"), "n"), "line-pairs")
-    release(spark)
 
     def measured(pairs: DataFrame) -> DataFrame:
         of = lambda side: wanted.select(F.col("h1").alias(side), F.col("line").alias(f"{side}_line"))
@@ -166,10 +161,8 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = 20, id_
     # One near line ahead is enough: that with the most keys in common is measured first, and the others where it is too far.
     likely = pairs.groupBy("late").agg(F.max_by("early", F.struct("n", "early")).alias("early"))
     soon = measured(likely)
-    release(spark)
     found = soon.unionByName(measured(pairs.join(soon, "late", "left_anti").select("early", "late")))
     linked = written(found.select(F.col("late").alias("h1")).distinct().join(wanted.select("h1", "h2"), "h1").withColumn("linked", F.lit(True)), "linked")
-    release(spark)
 
     verdict = distinct.drop("keys").join(linked, ["h1", "h2"], "left")
     here = F.struct("key", "text_hash", "at")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .hashing import mixed, rolled, stretches, words_of
-from .shared import BROADCAST_ROWS, release, small_enough, written
+from .shared import BROADCAST_ROWS, small_enough, written
 
 COORDINATES = 64
 #: Of 64 two-bit coordinates, as many may differ: at similarity 0.8, 9.6 do on average (0.2 of which a quarter agree by chance), deviation 2.9.
@@ -175,7 +175,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int =
         return written(own.mapInArrow(_sets(k), "c long, shingles array<long>").dropDuplicates(["c"]), "sets")
 
     small, large = branched(classes, trees, leaf, levels)
-    release(docs.sparkSession)
     # In each large node of the first trees, a class and its nearest pivot.
     early = to_pivots(large.where(F.col("tree") < EARLY_TREES), pivots, (F.col("a.c") != F.col("b.c")) & _may_link(percent / 100))
     early = early.groupBy(F.col("a.c").alias("u")).agg(F.min(F.struct(_apart().alias("apart"), F.col("b.c").alias("v"))).alias("x")).select("u", "x.v")
@@ -183,7 +182,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int =
     early = components(_confirmed(early, sets_of(early), percent))
     large = large.join(early.select(F.col("u").alias("c"), F.col("v").alias("root")), "c", "left").withColumn("root", F.coalesce("root", "c"))
     pairs = written(candidates(small, written(large, "large"), percent / 100, leaf, pivots), "pairs")
-    release(docs.sparkSession)
     sets = sets_of(pairs)
     # First, for each class, its nearest pair upwards: most of the other pairs are then within a component and need no look.
     nearest = pairs.groupBy("u").agg(F.min(F.struct("apart", "v")).alias("x")).select("u", "x.v")
@@ -199,7 +197,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int =
     rooted = classes.select("c", "least").join(roots.select(F.col("u").alias("c"), F.col("v").alias("root")), "c", "left").withColumn("root", F.coalesce("root", "c"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of_class = written(rooted.join(least, "root").select("c", "component_id"), "components")
-    release(docs.sparkSession)
     copies = signed.groupBy("id", "text_hash").agg(F.count("*").alias("copies")).where("copies > 1")
     out = signed.select("id", "text_hash", F.col("n").alias("n_shingles"), "c").join(of_class, "c", "left")
     out = out.withColumn("component_id", F.when(F.col("c").isNull(), F.col("id")).otherwise(F.col("component_id")))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import Words, mixed, stretches, words_of
-from .shared import deleted, new_folder, release, written
+from .shared import deleted, written
 
 PERIOD, COVER = 7, (0, 1, 3)
 #: The place of a null id among the ids: after all.
@@ -76,9 +76,8 @@ def substring_dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
     found = keyed.select("key", "text").mapInArrow(anchors, "anchor long, key long")
     # Rows, not texts, are counted: a few anchors too many cost a look and no error.
     shared = written(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors")
-    release(spark)
     mine = written(found.join(shared, "anchor").groupBy("key").agg(F.collect_set("anchor").alias("anchors")), "shared")
-    release(spark)
+    deleted(shared)
 
     def near(words: Words, lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
         """Begins and hashes of the windows around the listed anchors."""
@@ -93,15 +92,11 @@ def substring_dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
             begins, own = near(words, _column(batch, "anchors"))
             yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), _column(batch, "key").take(pa.array(words.text[begins]))], ["w", "key"])
 
-    table = new_folder(spark, "windows")
-    keyed.select("key", "text").join(mine, "key").mapInArrow(windows, "w long, key long").write.parquet(table)
-    release(spark)
-    found = spark.read.schema("w long, key long").parquet(table)
+    found = written(keyed.select("key", "text").join(mine, "key").mapInArrow(windows, "w long, key long"), "windows")
+    deleted(mine)
     firsts = written(found.groupBy("w").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last").drop("last"), "firsts")
-    release(spark)
     gone = written(found.join(firsts, "w").where("key > first").groupBy("key").agg(F.collect_set("w").alias("dead")), "gone")
-    deleted(spark, table)
-    release(spark)
+    deleted(found, firsts)
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stretches(batches):

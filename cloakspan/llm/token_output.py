@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import new_folder, release, small_enough
+from .shared import new_folder, small_enough
 from .tokens import encoder
 
 
@@ -135,7 +135,6 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, stride: int = 256
             continue
         own = placed.where(F.col("shard").between(low, high - 1)).select("doc_id", "piece", "ids", "slot", "shard")
         own.repartitionByRange(high - low, "shard").sortWithinPartitions("slot").mapInPandas(save, "shard long").count()
-        release(spark)
     return n
 
 
