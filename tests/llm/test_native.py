@@ -1,5 +1,6 @@
 import math
 import random
+import re
 from itertools import combinations
 
 import duckdb
@@ -94,6 +95,49 @@ def test_every_pattern_of_substitutions_is_met(spark):
     assert {(r.doc_id, r.item_id) for r in found} == expected
 
 
+def best_overlaps(docs, items, window=13, least=0.8):
+    """(doc_id, item_id): n_equal, n_aligned, first_word, by comparing each text with each item at each alignment."""
+    cut = lambda t: [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower()) if w]
+    out = {}
+    for i, text in docs:
+        own = cut(text)
+        for k, item in items:
+            other = cut(item)
+            if not own or not other:
+                continue
+            width = min(window, len(other))
+            for start in range(1 - len(other), len(own)):
+                equal = [own[start + j] == w for j, w in enumerate(other) if 0 <= start + j < len(own)]
+                need = least * width if len(other) >= D.SHORT else width
+                if len(equal) >= width and max(sum(equal[a : a + width]) for a in range(len(equal) - width + 1)) >= need:
+                    out[i, k] = max(out.get((i, k), (0, 0, 0)), (sum(equal), len(equal), -start))
+    return {key: (a, b, -c) for key, (a, b, c) in out.items()}
+
+
+@pytest.mark.parametrize("block", [4096, 16])
+@pytest.mark.parametrize("set_rows", [50_000, 10])
+def test_overlaps_against_brute_force(spark, monkeypatch, block, set_rows):
+    monkeypatch.setattr(D, "BLOCK", block)
+    monkeypatch.setattr(D, "SET_ROWS", set_rows)
+    monkeypatch.setattr(D, "BROADCAST_CHARS", 100 if set_rows == 10 else 8 << 20)
+    rng = random.Random(8)
+    word = lambda: rng.choice("abcdefgh") + rng.choice("uvwxyz")
+    items = [(k, " ".join(word() for _ in range(rng.choice([1, 3, 8, 9, 11, 13, 25, 60])))) for k in range(16)]
+    items += [(3, "second text of one id with nine words in it"), (30, None), (31, " - ")]
+    docs = [(0, None), (1, ""), (2, "!?")]
+    for i in range(40):
+        own = [word() for _ in range(rng.randint(0, 30))]
+        for _ in range(rng.randint(0, 2)):
+            part = (rng.choice(items)[1] or "").split()
+            own += [word() if rng.random() < rng.choice([0, 0.1, 0.25]) else w for w in part[rng.randint(0, len(part) // 2) :]]
+            own += [word() for _ in range(rng.randint(0, 10))]
+        docs.append((10 + i, ", ".join(own)))
+    docs += [docs[5], docs[6], (200, " ".join(word() for _ in range(3000)) + " " + items[-3][1])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.doc_id, r.item_id): (r.n_equal, r.n_aligned, r.first_word) for r in D.overlaps(table(spark, docs), bench).collect()}
+    assert found == best_overlaps(docs, items)
+
+
 @pytest.mark.parametrize(("window", "min_equal"), [(13, 0.8), (9, 0.8), (14, 0.8), (20, 0.8), (6, 0.7), (15, 0.9)])
 def test_masks_hit_every_overlap(window, min_equal):
     masks = D.masks_for(window, min_equal)
