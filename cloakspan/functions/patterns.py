@@ -27,8 +27,21 @@ IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])"
 SURNAME_INITIALS = rf"(?U){SURNAME}\s*{INITIALS}"
 INITIALS_SURNAME = rf"(?U){INITIALS}\s*{SURNAME}"
 FIO = rf"(?U)(?:{SURNAME}\s+[А-ЯЁ][а-яё]+(?:\s+[А-ЯЁ][а-яё]+|\s+{INITIALS})?|{INITIALS}\s+{SURNAME})"
-#: Exactly two initials beside a surname, for paragraphs.
-PARAGRAPH_NAMES = (rf"(?U){SURNAME}{SOFT}*[А-ЯЁA-Z]\.{SOFT}*[А-ЯЁA-Z]\.", rf"(?U)[А-ЯЁA-Z]\.{SOFT}*[А-ЯЁA-Z]\.{SOFT}*{SURNAME}")
+#: Exactly two initials beside a surname, for paragraphs; between them white space and characters without width.
+LOOSE = r"[\s\x{00a0}\x{200b}\x{200c}\x{200d}\x{feff}\x{00ad}]"
+TWO_INITIALS = rf"[А-ЯЁ]\.\s*{LOOSE}?\s*[А-ЯЁ]\."
+PARAGRAPH_NAMES = (rf"(?U){SURNAME}{LOOSE}*{TWO_INITIALS}", rf"(?U){TWO_INITIALS}{LOOSE}*{SURNAME}")
+#: Endings of patronymics.
+PATRONYMIC = "(?iu)^.+(?:ович|евич|ич|овна|евна|ична)$"
+#: Words that begin with a capital, one to three running.
+NAME_CHUNK = r"(?U)[А-ЯЁ][а-яё]+(?:-[А-ЯЁ][а-яё]+)?(?:[ \x{00a0}]+[А-ЯЁ][а-яё]+(?:-[А-ЯЁ][а-яё]+)?){1,2}"
+#: Common first names, in lower case.
+FIRST_NAMES = (
+    "александр", "александра", "алексей", "анастасия", "андрей", "анна", "антон", "борис", "вера", "виктор", "виктория", "владимир", "галина", "григорий", "дарья", "дмитрий", "евгений", "екатерина", "елена", "иван", "игорь", "ирина", "константин", "ксения",
+    "людмила", "максим", "марина", "мария", "михаил", "надежда", "наталья", "николай", "олег", "ольга", "павел", "пётр", "роман", "светлана", "сергей", "татьяна", "юлия", "юрий",
+)
+#: Endings of surnames.
+SURNAME_END = "(?iu)(?:ов|ова|ев|ева|ёв|ёва|ин|ина|ын|ына|ский|ская|цкий|цкая|енко)$"
 #: Headings that look like names, in lower case.
 HEADINGS = ("содержание", "оглавление", "приложение", "введение", "заключение", "библиография", "литература", "список литературы", "глоссарий", "определения", "термины", "примечания", "описание", "требования", "порядок", "договор", "договора", "статья", "статьи")
 ADDRESS_KEYS = "г|город|р-н|район|пос|посёлок|поселок|дер|дп|с|село|пгт|ст|станица|мкр|микрорайон|ул|улица|просп|пр-т|проспект|наб|набережная|пер|переулок|ш|шоссе|пл|площадь|бул|бульвар|тракт|км|километр|владение|вл|строение|стр|дом|д|корп|к|лит|оф|офис|кв|квартира"

@@ -25,22 +25,49 @@ def make_span(start: Column, end: Column, label: Column, text: Column, src: Colu
     return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), label.alias("label"), text.alias("text"), src.cast("int").alias("src"), ord_.cast("int").alias("ord"))
 
 
+#: Elements that a fold looks at before it moves on to the next block.
+BLOCK = 64
+
+
+def let(value: Column, body) -> Column:  # noqa: ANN001
+    """body(value), with the value made once: the planner would copy it into each use."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _blocks(array: Column) -> Column:
+    return F.sequence(F.lit(0), F.floor(F.size(array) / BLOCK).cast("int"))
+
+
 def find_spans(text: Column, pattern: str, label: str, src: int, hint: str | None = None) -> Column:
     """All matches of a pattern that never matches nothing. hint: a cheaper pattern that every match contains.
 
-    A match's offset is the sum of the lengths of the gaps up to it and of the matches before it.
+    A match's offset is the sum of the lengths of the gaps up to it and of the matches before it. The sums are taken up
+    to each block of matches, and within the block, so that no list grows match by match.
     """
     t = text_of(text)
-    both = F.struct(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)).alias("m"), F.split(t, pattern, -1).alias("g"))
 
-    def grow(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.char_length(x["g"])
-        one = make_span(start, start + F.char_length(x["m"]), F.lit(label), x["m"], F.lit(src), F.size(acc["out"]))
-        return F.struct((start + F.char_length(x["m"])).alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+    def placed(x: Column) -> Column:
+        lengths = F.transform(x["m"], lambda m, i: F.char_length(m) + F.char_length(F.get(x["g"], i)))
+        return let(lengths, lambda own: let(heads(own), lambda head: spans(x, own, head)))
+
+    def total(own: Column, begin: Column, n: Column) -> Column:
+        return F.aggregate(F.slice(own, begin + 1, n), F.lit(0), lambda acc, v: acc + v)
+
+    def heads(own: Column) -> Column:
+        """The length of all before each block."""
+        add = lambda acc, k: F.concat(acc, F.array(F.element_at(acc, -1) + total(own, k * BLOCK, F.lit(BLOCK))))
+        return F.aggregate(_blocks(own), F.array(F.lit(0)), add)
 
-    pairs = F.transform(both["m"], lambda m, i: F.struct(m.alias("m"), F.get(both["g"], i).alias("g")))
-    found = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty().alias("out")), grow, lambda acc: acc["out"])
-    return F.when(t.rlike(hint or pattern), found).otherwise(empty())
+    def spans(x: Column, own: Column, head: Column) -> Column:
+        def one(m: Column, i: Column) -> Column:
+            block = F.floor(i / BLOCK).cast("int")
+            start = F.get(head, block) + total(own, block * BLOCK, i % BLOCK) + F.char_length(F.get(x["g"], i))
+            return let(start, lambda at: make_span(at, at + F.char_length(m), F.lit(label), m, F.lit(src), i))
+
+        return F.transform(x["m"], one)
+
+    both = F.struct(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)).alias("m"), F.split(t, pattern, -1).alias("g"))
+    return F.when(t.rlike(hint or pattern), let(both, placed)).otherwise(empty())
 
 
 def priority(label: Column) -> Column:
@@ -54,7 +81,21 @@ def _ordered(spans: Column, *keys) -> Column:  # noqa: ANN002
 
 
 def _fold(spans: Column, keep) -> Column:  # noqa: ANN001
-    return F.aggregate(spans, empty(), lambda acc, s: F.when((F.size(acc) == 0) | keep(F.element_at(acc, -1), s), F.concat(acc, F.array(s))).otherwise(acc))
+    """The spans that are kept: the first, and each for which keep(last kept, span) holds. Block by block, see find_spans."""
+
+    def folded(own: Column) -> Column:
+        def step(acc: Column, s: Column) -> Column:
+            new = F.struct(s.alias("last"), F.concat(acc["out"], F.array(s)).alias("out"))
+            return F.when(acc["last"].isNull() | keep(acc["last"], s), new).otherwise(acc)
+
+        def block(acc: Column, k: Column) -> Column:
+            inner = F.aggregate(F.slice(own, k * BLOCK + 1, BLOCK), F.struct(acc["last"].alias("last"), empty().alias("out")), step)
+            return let(inner, lambda x: F.struct(x["last"].alias("last"), F.concat(acc["out"], F.array(x["out"])).alias("out")))
+
+        start = F.struct(F.lit(None).cast(SPAN).alias("last"), F.array().cast(f"array<{NONE}>").alias("out"))
+        return F.aggregate(_blocks(own), start, block, lambda acc: F.flatten(acc["out"]))
+
+    return let(spans, folded)
 
 
 def prune_overlaps(spans: Column, by_priority: bool = True) -> Column:
@@ -80,10 +121,18 @@ def alias_labels(label: Column, names: dict[str, str], keep_unknown: bool = True
 def splice(text: Column, spans: Column, replacement) -> Column:  # noqa: ANN001
     """text with each span put through replacement(label, text); spans that begin before the end of the last are skipped."""
     t = text_of(text)
+    kept = _fold(_ordered(spans, lambda s: s["start"]), lambda last, s: s["start"] >= last["end"])
+
+    def joined(own: Column) -> Column:
+        after = lambda i: F.coalesce(F.get(own, i - 1)["end"], F.lit(0))
+        pieces = F.transform(own, lambda s, i: F.concat(F.substring(t, after(i) + 1, s["start"] - after(i)), replacement(s["label"], s["text"])))
+        return F.concat(F.array_join(pieces, ""), F.substring(t, after(F.size(own)) + 1, F.char_length(t)))
+
+    return F.when(F.size(spans) > 0, let(kept, joined)).otherwise(t)
 
-    def step(acc: Column, s: Column) -> Column:
-        new = F.struct(F.concat(acc["out"], F.substring(t, acc["at"] + 1, s["start"] - acc["at"]), replacement(s["label"], s["text"])).alias("out"), s["end"].alias("at"))
-        return F.when(s["start"] >= acc["at"], new).otherwise(acc)
 
-    ordered = _ordered(spans, lambda s: s["start"])
-    return F.aggregate(ordered, F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.char_length(t))))
+def replace_matches(text: Column, pattern: str, make) -> Column:  # noqa: ANN001
+    """text with each match of the pattern put through make(match)."""
+    gaps = F.split(text, pattern, -1)
+    pieces = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m, i: F.concat(F.get(gaps, i), make(m)))
+    return F.concat(F.array_join(pieces, ""), F.element_at(gaps, -1))

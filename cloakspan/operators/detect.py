@@ -77,32 +77,28 @@ def recognize(text: Column, labels: list[str] | None = None, languages: list[str
     return F.concat(*[r.find(text) for r in used]) if used else S.empty()
 
 
-def _last_left(window: Column) -> Column:
-    """Where the last street or house word of the window begins, or null."""
-    hits = S.find_spans(window, P.ADDRESS_LEFT, "", 0)
-    return F.when(F.size(hits) > 0, F.element_at(hits, -1)["start"])
-
-
-def _first_right(window: Column) -> Column:
-    hits = S.find_spans(window, P.ADDRESS_RIGHT, "", 0)
-    return F.when(F.size(hits) > 0, F.element_at(hits, 1)["start"])
-
-
 def expand_address(text: Column, spans: Column) -> Column:
     """ADDRESS and LOCATION spans grown to the last address word on the left and the first sentence end on the right."""
     t, soft = S.text_of(text), r"^[ ,\x{00a0}]+"
 
     def grown(s: Column) -> Column:
         low = F.greatest(s["start"] - P.LEFT_WINDOW, F.lit(0))
-        left = _last_left(F.substring(t, low + 1, s["start"] - low))
-        # From there, spaces and commas are skipped, up to the old begin.
-        lead = F.substring(t, low + left + 1, s["start"] - low - left)
-        start = F.when(left.isNull(), s["start"]).otherwise(s["start"] - F.char_length(F.regexp_replace(lead, soft, "")))
-        right = _first_right(F.substring(t, s["end"] + 1, F.lit(P.RIGHT_WINDOW)))
-        far = F.least(F.char_length(t), s["end"] + P.RIGHT_WINDOW)
-        end = F.coalesce(s["end"] + right, far)
-        body = F.regexp_replace(F.substring(t, start + 1, end - start), r"[ ,\x{00a0}]+\z", "")
-        return S.make_span(start, start + F.char_length(body), F.lit("ADDRESS"), body, s["src"], s["ord"])
+        lefts = S.find_spans(F.substring(t, low + 1, s["start"] - low), P.ADDRESS_LEFT, "", 0)
+        rights = S.find_spans(F.substring(t, s["end"] + 1, F.lit(P.RIGHT_WINDOW)), P.ADDRESS_RIGHT, "", 0)
+        seen = F.struct((low + F.try_element_at(lefts, F.lit(-1))["start"]).alias("left"), (s["end"] + F.get(rights, F.lit(0))["start"]).alias("right"))
+        return S.let(seen, lambda v: S.let(edges(s, v), lambda e: S.let(body(e), lambda x: span(s, e, x))))
+
+    def edges(s: Column, v: Column) -> Column:
+        # From the word on the left, spaces and commas are skipped, up to the old begin.
+        lead = F.regexp_replace(F.substring(t, v["left"] + 1, s["start"] - v["left"]), soft, "")
+        start = F.when(v["left"].isNull(), s["start"]).otherwise(s["start"] - F.char_length(lead))
+        return F.struct(start.alias("start"), F.coalesce(v["right"], F.least(F.char_length(t), s["end"] + P.RIGHT_WINDOW)).alias("end"))
+
+    def body(e: Column) -> Column:
+        return F.regexp_replace(F.substring(t, e["start"] + 1, e["end"] - e["start"]), r"[ ,\x{00a0}]+\z", "")
+
+    def span(s: Column, e: Column, x: Column) -> Column:
+        return S.make_span(e["start"], e["start"] + F.char_length(x), F.lit("ADDRESS"), x, s["src"], s["ord"])
 
     return F.transform(spans, lambda s: F.when(s["label"].isin("ADDRESS", "LOCATION"), grown(s)).otherwise(s))
 
@@ -123,6 +119,42 @@ def ner_spans(text: Column, results: Column, labels: list[str] | None = None, th
     return S.prune_overlaps(spans, by_priority=False)
 
 
-def paragraph_names(text: Column) -> Column:
-    """Surnames with exactly two initials, either order, nested ones dropped."""
-    return S.dedup_nested(F.concat(*[S.find_spans(text, p, "PERSON", k, "[А-ЯЁ]") for k, p in enumerate(P.PARAGRAPH_NAMES)]))
+def name_votes(chunk: Column) -> Column:
+    """How many words of a chunk are a first name, a patronymic or a surname, by list and endings."""
+    words = F.filter(F.split(chunk, rf"(?U){P.LOOSE}+"), lambda w: w != "")
+    return F.size(F.filter(words, lambda w: F.lower(w).isin(*P.FIRST_NAMES) | w.rlike(P.PATRONYMIC) | w.rlike(P.SURNAME_END)))
+
+
+def listed_names(text: Column, src: int = 11) -> Column:
+    """Chunks of two or three capitalised words of which two at least pass for names; no headings."""
+    return F.filter(S.find_spans(text, P.NAME_CHUNK, "PERSON", src, "[А-ЯЁ]"), lambda s: ~header_like(s["text"]) & (name_votes(s["text"]) >= 2))
+
+
+#: Names by list, beside those of BUILT_IN: give it to detect() as one of `extra`.
+LISTED_NAMES = Recognizer("listed_names", "PERSON", listed_names, ("ru",))
+
+
+def paragraph_names(text: Column, listed: bool = False) -> Column:
+    """Surnames with exactly two initials, either order, and if asked for the names by list; nested ones dropped."""
+    found = [S.find_spans(text, p, "PERSON", k, "[А-ЯЁ]") for k, p in enumerate(P.PARAGRAPH_NAMES)]
+    return S.dedup_nested(F.concat(*([listed_names(text, -1)] if listed else []), *found))
+
+
+#: The most terms of a gazetteer that are broadcast.
+BROADCAST_TERMS = 1_000_000
+
+
+def gazetteer(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, src: int = 12) -> DataFrame:
+    """Rows id, start, end, label, span: runs of one to `words` words that a table of terms (term, label) lists, case apart.
+
+    Words are runs of letters and digits with single hyphens inside. Terms are broadcast up to a checked number; beyond
+    it the same join shuffles. Null texts, terms and ids: no rows, no hits, rows of a null id.
+    """
+    pattern = r"(?U)[\p{L}\p{N}]+(?:-[\p{L}\p{N}]+)*"
+    run = lambda own, i, n: F.struct(F.get(own, i)["start"].alias("start"), F.get(own, i + n - 1)["end"].alias("end"), F.lower(F.array_join(F.transform(F.slice(own, i + 1, n), lambda w: w["text"]), " ")).alias("term"))
+    runs = lambda own: F.flatten(F.transform(own, lambda _, i: F.array(*[run(own, i, n) for n in range(1, words + 1)])))
+    found = docs.select(F.col(id_col).alias("id_"), F.col(text_col).alias("text_"), F.explode(S.let(S.find_spans(F.col(text_col), pattern, "", src), runs)).alias("r")).where("r.end is not null")
+    own = terms.where("term is not null").select(F.lower(F.trim("term")).alias("term_"), "label").distinct()
+    own = F.broadcast(own) if own.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else own
+    met = found.join(own, F.col("r.term") == F.col("term_"))
+    return met.select(F.col("id_").alias(id_col), "r.start", "r.end", "label", F.substring("text_", F.col("r.start") + 1, F.col("r.end") - F.col("r.start")).alias("span"))

@@ -69,6 +69,29 @@ def sanitize_mailto(html: Column, policy: str = "mask") -> Column:
     return S.splice(t, found, masked)
 
 
+def _masked_emails(text: Column) -> Column:
+    return S.replace_matches(text, P.EMAIL, M.mask_email)
+
+
+def sanitize_links(html: Column, policy: str = "mask") -> Column:
+    """struct<html, n>: sanitize_mailto, and e-mails masked in what links show; n: how many targets, fields and shown texts changed.
+
+    Targets and HYPERLINK fields hold "mailto:..." in quotes. What a link shows stands between <a ...> and </a>. An
+    e-mail that is masked already stays, and isn't counted.
+    """
+    check_policy(policy)
+    t = F.coalesce(html, F.lit(""))
+    link = r"(?is)<a\b[^>]*>.*?</a>"
+    shown = lambda x: F.regexp_extract(x, r"(?is)^<a\b[^>]*>(.*)</a>$", 1)
+    tag = lambda x: F.regexp_extract(x, r"(?is)^(<a\b[^>]*>)", 1)
+    new = lambda x: F.when(shown(x).rlike(P.EMAIL), F.concat(tag(x), _masked_emails(shown(x)), F.substring(x, -4, 4))).otherwise(x)
+    links = S.replace_matches(t, link, new)
+    targets = F.regexp_extract_all(t, F.lit(r'"mailto:([^"]+)"'), F.lit(1))
+    changed = F.size(F.filter(targets, lambda a: a.rlike(P.EMAIL) & ((F.lit(policy) == "remove") | (M.mask_email(a) != a))))
+    texts = F.size(F.filter(F.regexp_extract_all(t, F.lit(link), F.lit(0)), lambda x: shown(x).rlike(P.EMAIL) & (_masked_emails(shown(x)) != shown(x))))
+    return F.struct(sanitize_mailto(links, policy).alias("html"), (changed + texts).alias("n"))
+
+
 def scrub_properties(docs: DataFrame, names: tuple[str, ...] = PROPERTIES) -> DataFrame:
     return docs.withColumns({c: F.lit("") for c in names if c in docs.columns})
 

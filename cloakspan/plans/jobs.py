@@ -44,12 +44,15 @@ class RedactJob:
         )
 
 
-def evaluate_synthetic(spark: SparkSession, n: int = 1000, ru_share: float = 1.0) -> DataFrame:
-    """Scores of the detector on the snippets of n person rows, by span and by character."""
-    docs = corpus.snippets(person_rows(spark, n, ru_share), corpus.SNIPPET, "doc_id")
-    found = detect(docs, labels=list(corpus.FIELDS.values()))
-    gold = evaluate.explode_spans(docs, "gold", "doc_id")
-    return evaluate.classification(gold, evaluate.explode_spans(found, "spans", "doc_id"), list(corpus.FIELDS.values()))
-
+def evaluate_concatenated(docs: DataFrame, labels: list[str], batch_size: int = 5000, languages: list[str] | None = None) -> DataFrame:
+    """Scores of the detector, by span and by character, on texts (doc_id, text, gold) put together in batches of consecutive ids."""
+    joined = corpus.concatenated(docs, batch_size)
+    found = detect(joined, labels=labels, languages=languages)
+    gold, pred = evaluate.explode_spans(joined, "gold", "batch"), evaluate.explode_spans(found, "spans", "batch")
+    return evaluate.classification(gold, pred, labels, ("batch",))
 
 
+def evaluate_synthetic(spark: SparkSession, n: int = 1000, ru_share: float = 1.0, batch_size: int = 5000, languages: tuple[str, ...] = ("ru", "en")) -> DataFrame:
+    """Scores of the detector on the snippets of n person rows, put together in batches, by span and by character."""
+    docs = corpus.snippets(person_rows(spark, n, ru_share), corpus.SNIPPET, "doc_id")
+    return evaluate_concatenated(docs, list(corpus.FIELDS.values()), batch_size, resolve_languages(list(languages)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -17,7 +18,8 @@ from .operators import corpus as C
 from .operators import detect as D
 from .operators import evaluate as E
 from .operators import redact as R
-from .plans.jobs import RedactJob
+from .operators import tagger as G
+from .plans.jobs import RedactJob, evaluate_concatenated
 from .sources import text as T
 from .sources.people import CITIES, pick, select_sql
 
@@ -41,9 +43,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A folder of its own under spark.checkpoint.dir, which all executors see; a temporary one where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="cloakspan-")
-    return f"{base.rstrip('/')}/scratch-{uuid.uuid4().hex}"
+    """A folder of its own under spark.checkpoint.dir, which all executors see; a temporary one where that is unset and all runs on this machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
+    return f"{(base or 'file://' + tempfile.mkdtemp(prefix='cloakspan-')).rstrip('/')}/scratch-{uuid.uuid4().hex}"
 
 
 def russian(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +65,7 @@ SHOWN = 'SELECT doc_id, start, "end", label, span FROM ({})'
 RU = f"({O.RU})"
 
 # Recognizers, one by one.
-for _name, _source, _docs in (("email", "documents", None), ("card", "documents", None), ("ip", "documents", None), ("ssn", "documents", None), ("iban", "documents", None), ("phone", RU, russian), ("passport", RU, russian), ("surname_initials", RU, russian), ("initials_surname", RU, russian), ("fio", RU, russian)):
+for _name, _source, _docs in (("email", "documents", None), ("card", "documents", None), ("ip", "documents", None), ("ssn", RU, russian), ("iban", RU, russian), ("phone", RU, russian), ("passport", RU, russian), ("surname_initials", RU, russian), ("initials_surname", RU, russian), ("fio", RU, russian)):
 
     @query(f"spans_{_name}", SHOWN.format(O.recognized(_source, _name)))
     def _spans(spark: SparkSession, sf_dir: str, name: str = _name, docs: Query | None = _docs) -> DataFrame:
@@ -103,7 +107,10 @@ def prune_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(russian(spark, sf_dir), S.prune_overlaps(D.recognize(F.col("text"))))
 
 
-_PAIR = (rf"{P.SURNAME}{O.SOFT}*[А-ЯЁA-Z]\.{O.SOFT}*[А-ЯЁA-Z]\.", rf"[А-ЯЁA-Z]\.{O.SOFT}*[А-ЯЁA-Z]\.{O.SOFT}*{P.SURNAME}")
+# Written from the rule: two Cyrillic initials with points, white space or characters without width between, beside a surname.
+_GAP = r"[\s\x{00a0}\x{200b}\x{200c}\x{200d}\x{feff}\x{00ad}]"
+_TWO = rf"[А-ЯЁ]\.{_GAP}*[А-ЯЁ]\."
+_PAIR = (rf"[А-ЯЁ][а-яё]+(?:-[А-ЯЁ][а-яё]+)?{_GAP}*{_TWO}", rf"{_TWO}{_GAP}*[А-ЯЁ][а-яё]+(?:-[А-ЯЁ][а-яё]+)?")
 _PAIRS = " UNION ALL ".join(f"({O.matches(RU, p, 'PERSON', k)})" for k, p in enumerate(_PAIR))
 
 
@@ -113,16 +120,56 @@ def dedup_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _RAW = pick(("B-PER", "LOC", "I-ORG", "MISC", "PER"), "event_id")
-_NER = f"""SELECT user_id AS doc_id, event_id AS ord, {_RAW} AS raw, value / 500 AS score, CAST(event_id * 7 % 60 AS INTEGER) AS start, CAST(event_id * 7 % 60 + event_id % 9 AS INTEGER) AS "end" FROM events"""
+_NER = f"""SELECT user_id AS doc_id, event_id AS ord, {_RAW} AS raw, (event_id % 10) / 10.0 AS score, CAST(event_id * 7 % 60 AS INTEGER) AS start, CAST(event_id * 7 % 60 + event_id % 9 AS INTEGER) AS "end" FROM events"""
 _MAPPED = f"""SELECT doc_id, start, "end", CASE raw WHEN 'B-PER' THEN 'PERSON' WHEN 'PER' THEN 'PERSON' WHEN 'LOC' THEN 'ADDRESS' WHEN 'I-ORG' THEN 'ORGANIZATION' ELSE raw END AS label, '' AS span, 0 AS src, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS ord FROM ({_NER}) WHERE "end" > start AND score >= 0.7"""
 
 
 @query("ner_postprocess", 'SELECT doc_id, start, "end", label FROM (' + O.folded(_MAPPED, 'start, start - "end", src, ord', "v.start >= a.e") + ")")
-def ner_postprocess(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ner_postprocess(spark: SparkSession, sf_dir: str, labels: list[str] | None = None) -> DataFrame:
     """A tagger's results made from events, by user."""
     rows = spark.sql(_NER.replace('"end"', "`end`").replace("FROM events", "FROM {events}"), events=table(spark, sf_dir, "events"))
     docs = rows.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "raw", "score", "start", "end"))), lambda r: F.struct(r["raw"].alias("raw"), r["score"].alias("score"), r["start"].alias("start"), r["end"].alias("end"))).alias("results"))
-    return flat(docs, D.ner_spans(F.lit(""), F.col("results"))).drop("span")
+    return flat(docs, D.ner_spans(F.lit(""), F.col("results"), labels)).drop("span")
+
+
+@query("ner_limit", 'SELECT doc_id, start, "end", label FROM (' + O.folded(f"SELECT * FROM ({_MAPPED}) WHERE label IN ('PERSON', 'ADDRESS')", 'start, start - "end", src, ord', "v.start >= a.e") + ")")
+def ner_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ner_postprocess(spark, sf_dir, ["PERSON", "ADDRESS"])
+
+
+def _capitals() -> G.Model:
+    """A model for the test of the plug-in: each capitalised Cyrillic word is a person, surer the longer it is."""
+    word = re.compile("[А-ЯЁ][а-яё]+")
+    return lambda texts: [[("B-PER", len(m[0]) % 8 / 8 + 0.1, *m.span()) for m in word.finditer(t)] for t in texts]
+
+
+_TAGGED = f"SELECT * REPLACE (0 AS src) FROM ({O.matches(RU, '[А-ЯЁ][а-яё]+', 'PERSON')}) WHERE length(span) % 8 / 8 + 0.1 >= 0.7"
+
+
+@query("ner_plugin", SHOWN.format(O.folded(_TAGGED, 'start, start - "end", src, ord', "v.start >= a.e")))
+def ner_plugin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = russian(spark, sf_dir).withColumn("results", G.tag(F.col("text"), _capitals))
+    return flat(docs, D.ner_spans(F.col("text"), F.col("results")))
+
+
+_TERMS = [*((x, "LOCATION") for x in CITIES), ("Ленина", "LOCATION"), ("Список Литературы", "ORGANIZATION"), ("ул", "NRP"), ("Меня зовут", "NRP")]
+_WORDS = r"[\p{L}\p{N}]+(?:-[\p{L}\p{N}]+)*"
+_LISTED = " UNION ALL ".join(f"SELECT {x.lower()!r} AS term, {label!r} AS label" for x, label in _TERMS)
+
+
+@query("gazetteer", f"""WITH w AS ({O.matches(RU, _WORDS)}), n AS (SELECT doc_id, start, "end", lower(span) AS term FROM w UNION ALL SELECT a.doc_id, a.start, b."end", lower(a.span) || ' ' || lower(b.span) FROM w a JOIN w b ON a.doc_id = b.doc_id AND b.ord = a.ord + 1)
+SELECT n.doc_id, start, "end", label, substr(text, start + 1, "end" - start) AS span FROM n JOIN ({_LISTED}) t USING (term) JOIN {RU} d USING (doc_id)""")
+def gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.gazetteer(russian(spark, sf_dir), spark.createDataFrame(_TERMS, "term string, label string"))
+
+
+_CHUNK = rf"[А-ЯЁ][а-яё]+(?:-[А-ЯЁ][а-яё]+)?(?:[ \x{{00a0}}]+[А-ЯЁ][а-яё]+(?:-[А-ЯЁ][а-яё]+)?){{1,2}}"
+_VOTE = f"lower(w) IN ({', '.join(map(repr, P.FIRST_NAMES))}) OR regexp_matches(lower(w), '(?:ович|евич|ич|овна|евна|ична|ов|ова|ев|ева|ёв|ёва|ин|ина|ын|ына|ский|ская|цкий|цкая|енко)$')"
+
+
+@query("listed_names", SHOWN.format(O.matches(RU, _CHUNK, "PERSON")) + rf" WHERE lower(trim(span)) NOT IN ({', '.join(map(repr, P.HEADINGS))}) AND len(list_filter(string_split_regex(span, '[\s\x{{00a0}}]+'), lambda w: {_VOTE})) >= 2")
+def listed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flat(russian(spark, sf_dir), D.listed_names(F.col("text")))
 
 
 # The full detector and redaction.
@@ -202,6 +249,20 @@ def sanitize_mailto(spark: SparkSession, sf_dir: str) -> DataFrame:
     return russian(spark, sf_dir).select("doc_id", R.sanitize_mailto(F.expr(_LINKS)).alias("html"))
 
 
+_SHOWN = "'<p>' || email || ' <A class=\"x\" href=\"https://x.ru\">' || full_name || ' <b>' || email || '</b>, ' || email || '</A> <a href=\"mailto:' || email || '\">write</a> {HYPERLINK \"mailto:' || email || '\"}'"
+_MASKED = O.mask_email("email")
+
+
+@query("sanitize_links", f"""SELECT doc_id, '<p>' || email || ' <A class="x" href="https://x.ru">' || full_name || ' <b>' || m || '</b>, ' || m || '</A> <a href="mailto:' || m || '">write</a> {{HYPERLINK "mailto:' || m || '"}}' AS html, 3::INTEGER AS n FROM (SELECT *, {_MASKED} AS m FROM {RU})""")
+def sanitize_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return russian(spark, sf_dir).select("doc_id", R.sanitize_links(F.expr(_SHOWN)).alias("x")).select("doc_id", "x.html", "x.n")
+
+
+@query("scrub_properties", "SELECT c_custkey, '' AS title, c_name AS name, '' AS author FROM customer")
+def scrub_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.scrub_properties(table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("title"), F.col("c_name").alias("name"), F.col("c_name").alias("author")))
+
+
 @query("strip_comments", "SELECT page_id, regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->|<del\\b[^>]*>.*?</del>', '', 'g') AS html FROM pages")
 def strip_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", R.strip_comments(F.col("html")).alias("html"))
@@ -265,11 +326,27 @@ def build_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 _HEAD = lambda a: f"[{', '.join(map(repr, P.HEADING_WORDS))}][('0x' || substr(md5(c_custkey::VARCHAR), {a}, 4))::BIGINT % {len(P.HEADING_WORDS)} + 1]"
 
 
+_WORD = lambda a: _HEAD(a).replace("c_custkey", "k")
+
+
 @query("build_negatives", f"SELECT c_custkey, CASE WHEN ('0x' || substr(md5(c_custkey::VARCHAR), 13, 4))::BIGINT % 10 < 6 THEN {_HEAD(1)} || ' ' || {_HEAD(5)} ELSE {_HEAD(1)} || ' ' || {_HEAD(5)} || ' ' || {_HEAD(9)} END AS text FROM customer")
 def build_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.headings(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey")
 
 
+@query("ru_records", f"""SELECT doc_id, text, start, "end", span FROM ({_snippet_sql(C.SNIPPET)}) WHERE label = 'PERSON' UNION ALL SELECT -1 - k, CASE WHEN ('0x' || substr(md5(k::VARCHAR), 13, 4))::BIGINT % 10 < 6 THEN {_WORD(1)} || ' ' || {_WORD(5)} ELSE {_WORD(1)} || ' ' || {_WORD(5)} || ' ' || {_WORD(9)} END, -1, -1, '' FROM (SELECT unnest(range(greatest(100, (SELECT count(*) FROM customer) // 10))) AS k)""")
+def ru_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    people = russian(spark, sf_dir)
+    n = people.count()
+    out = C.ru_records(people, spark.range(max(100, n // 10)), n)
+    return out.select("doc_id", "text", F.explode_outer("gold").alias("s")).select("doc_id", "text", *[F.coalesce(f"s.{c}", F.lit(-1)).alias(c) for c in ("start", "end")], F.coalesce("s.text", F.lit("")).alias("span"))
+
+
+@query("first_rows", "SELECT c_custkey, c_name FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 20")
+def first_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.first_rows(table(spark, sf_dir, "customer"), 20, F.desc("c_acctbal"), "c_custkey").select("c_custkey", "c_name")
+
+
 @query("one_line", f"SELECT doc_id, {_line('address')} AS line FROM {RU}")
 def one_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return russian(spark, sf_dir).select("doc_id", M.one_line(F.col("address")).alias("line"))
@@ -306,9 +383,11 @@ def _entities(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 @query("bio_tags", f"""WITH t AS ({_TOKENS}), e AS ({_ENTITIES}), h AS (SELECT t.doc_id, tok_idx, ent, label, row_number() OVER (PARTITION BY t.doc_id, ent ORDER BY tok_idx) AS nth FROM t JOIN e ON t.doc_id = e.doc_id AND cs < e."end" AND ce > e.start),
-g AS (SELECT doc_id, tok_idx, arg_max(CASE WHEN nth = 1 THEN 'B-' ELSE 'I-' END || label, ent) AS tag FROM h GROUP BY ALL) SELECT t.*, tag FROM t LEFT JOIN g USING (doc_id, tok_idx)""")
+g AS (SELECT doc_id, tok_idx, arg_max(CASE WHEN nth = 1 THEN 'B-' ELSE 'I-' END || CASE label WHEN 'PERSON' THEN 'PER' ELSE label END, ent) AS tag FROM h GROUP BY ALL) SELECT t.*, CASE WHEN tag IN ('B-PER', 'I-PER') THEN tag END AS tag FROM t LEFT JOIN g USING (doc_id, tok_idx) WHERE tok_idx < 12""")
 def bio_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.bio_tags(*_entities(spark, sf_dir))
+    """Of twelve tokens a text; a telephone number's tag isn't known."""
+    toks, entities = _entities(spark, sf_dir)
+    return C.bio_tags(toks, entities.withColumn("label", S.alias_labels(F.col("label"), P.TRAINING_ALIASES)), max_length=12)
 
 
 @query("token_contract", f"""SELECT t.doc_id, label, min(cs) AS start, max(ce) AS "end" FROM ({_TOKENS}) t JOIN ({_ENTITIES}) e ON t.doc_id = e.doc_id AND cs >= e.start AND ce <= e."end" GROUP BY t.doc_id, ent, label""")
@@ -362,27 +441,56 @@ def metrics_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.match_counts(*_both(spark, sf_dir), list(_LABELS), ("start", "end"))
 
 
-@query("metrics_report")
+_PERCENT = " || ' ' || ".join(f"printf('%5.1f', {c} * 100)" for c in ("precision", "recall", "f1", "accuracy"))
+
+
+@query("metrics_report", f"SELECT level, scope, label, {_PERCENT} AS line FROM (" + O.scores(O.counts(_GOLD, _PRED, labels=_LABELS)) + " UNION ALL " + O.scores(O.counts(O.characters(_GOLD), O.characters(_PRED), "doc_id, start", _LABELS), "char") + ")")
 def metrics_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.report(E.classification(*_both(spark, sf_dir), list(_LABELS)))
+    return E.report(_rounded(E.classification(*_both(spark, sf_dir), list(_LABELS))))
 
 
-_WS = r"regexp_replace({}, '[\s\x{{00a0}}]+', ' ', 'g')"
+# Written from the rule: the span's text, a space of it standing for any white space, is looked for in the redacted text.
+_LEFT_OVER = rf"regexp_matches(redacted, replace(regexp_escape(span), '\ ', '[\s\x{{00a0}}]+'))"
+_LEAKED = lambda texts: f"SELECT leaked, total_true, CASE WHEN total_true > 0 THEN leaked / total_true ELSE 0 END AS pii_leakage FROM (SELECT coalesce(sum({_LEFT_OVER}::INTEGER), 0)::BIGINT AS leaked, count(*) AS total_true FROM ({_GOLD}) JOIN ({texts}) USING (doc_id) WHERE span <> '')"
+#: Redacted texts in which every fifth keeps its name, with other white space.
+_LEAKY = lambda texts: f"SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN redacted || replace(full_name, ' ', '  ') WHEN doc_id % 5 = 1 THEN redacted || replace(full_name, ' ', '') ELSE redacted END AS redacted FROM ({texts}) JOIN {RU} USING (doc_id)"
 
 
-@query("leakage", f"SELECT leaked, total_true, CASE WHEN total_true > 0 THEN leaked / total_true ELSE 0 END AS pii_leakage FROM (SELECT coalesce(sum(contains({_WS.format('redacted')}, {_WS.format('span')})::INTEGER), 0)::BIGINT AS leaked, count(*) AS total_true FROM ({_GOLD}) JOIN ({O.spliced(_SNIPPETS, _PRED, O.smart_mask('label', 'span'))}) USING (doc_id) WHERE span <> '')")
+@query("leakage", _LEAKED(O.spliced(_SNIPPETS, _PRED, O.smart_mask("label", "span"))))
 def leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = D.detect(C.snippets(russian(spark, sf_dir), C.SNIPPET, "doc_id"))
     return E.leakage(flat(docs, F.col("gold")), docs.select("doc_id", R.apply_policy(F.col("text"), F.col("spans"), "mask").alias("redacted")))
 
 
-@query("batch_offsets", f'SELECT doc_id, ((doc_id - 1) // 256)::BIGINT AS batch, (sum(length(text)) OVER (PARTITION BY (doc_id - 1) // 256 ORDER BY doc_id) - length(text))::BIGINT AS "offset" FROM {RU} WHERE doc_id > 0')
+@query("redaction_metrics", f"""SELECT l.*, tp, fp, CASE WHEN tp + fp > 0 THEN fp / (tp + fp) ELSE 0 END AS over_redaction FROM ({_LEAKED(_LEAKY(O.spliced(_SNIPPETS, _PRED, O.smart_mask("label", "span"))))}) l, (SELECT sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp FROM ({O.counts(_GOLD, _PRED)}))""")
+def redaction_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    people = russian(spark, sf_dir)
+    docs = D.detect(C.snippets(people, C.SNIPPET, "doc_id", "full_name"))
+    redacted, name = R.apply_policy(F.col("text"), F.col("spans"), "mask"), lambda gap: F.replace(F.col("full_name"), F.lit(" "), F.lit(gap))
+    leaky = F.when(F.col("doc_id") % 5 == 0, F.concat(redacted, name("  "))).when(F.col("doc_id") % 5 == 1, F.concat(redacted, name(""))).otherwise(redacted)
+    return E.redaction_metrics(flat(docs, F.col("gold")), flat(docs, F.col("spans")), docs.select("doc_id", leaky.alias("redacted")))
+
+
+_BATCHED = f"SELECT doc_id, floor((doc_id - 1) / 64.0)::BIGINT AS batch, text FROM {_SNIPPETS}"
+_JOINED = f"(SELECT batch AS doc_id, string_agg(text, '' ORDER BY doc_id) AS text FROM ({_BATCHED}) GROUP BY batch)"
+_MOVED = f"""SELECT batch AS doc_id, (start + before)::INTEGER AS start, ("end" + before)::INTEGER AS "end", label, span FROM ({_GOLD}) JOIN (SELECT doc_id, batch, sum(length(text)) OVER (PARTITION BY batch ORDER BY doc_id) - length(text) AS before FROM ({_BATCHED})) USING (doc_id)"""
+_ON_JOINED = f'SELECT doc_id, start, "end", label, span FROM ({O.pruned(O.recognized(_JOINED, *(x.name for x in D.BUILT_IN if x.label in _LABELS)))})'
+
+
+@query("metrics_concatenated", O.scores(O.counts(_MOVED, _ON_JOINED, labels=_LABELS)) + " UNION ALL " + O.scores(O.counts(O.characters(_MOVED), O.characters(_ON_JOINED), "doc_id, start", _LABELS), "char"))
+def metrics_concatenated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The detector on texts put together, 64 at a time."""
+    docs = C.snippets(russian(spark, sf_dir), C.SNIPPET, "doc_id")
+    return _rounded(evaluate_concatenated(docs, list(_LABELS), 64))
+
+
+@query("batch_offsets", f'SELECT doc_id, floor((doc_id - 1) / 256.0)::BIGINT AS batch, (sum(length(text)) OVER (PARTITION BY floor((doc_id - 1) / 256.0) ORDER BY doc_id) - length(text))::BIGINT AS "offset" FROM {RU}')
 def batch_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.batch_offsets(russian(spark, sf_dir).where("doc_id > 0"), 256)
+    return C.batch_offsets(russian(spark, sf_dir), 256)
 
 
 # Feedback, files and names.
-@query("feedback_json")
+@query("feedback_json", f"""SELECT '{{"ts":"' || strftime(to_timestamp(doc_id) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S.%fZ') || '","source":"api","text":' || to_json(text)::VARCHAR || ',"spans":' || coalesce(s, '[]') || '}}' AS value FROM {RU} LEFT JOIN (SELECT doc_id, to_json(list({{'start': start, 'end': "end", 'label': label, 'text': span}} ORDER BY start))::VARCHAR AS s FROM ({O.pruned(O.recognized(RU))}) GROUP BY doc_id) USING (doc_id)""")
 def feedback_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = D.detect(russian(spark, sf_dir))
     return T.feedback_records(docs, F.timestamp_seconds(F.col("doc_id")), "api")
@@ -420,7 +528,10 @@ def output_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", T.output_name(b).alias("output_name"), T.public_url(b).alias("url"), T.output_name(b, "_redacted").alias("download_name"))
 
 
-@query("process_files")
+_ASKED = O.pruned(O.recognized(RU, *(x.name for x in D.BUILT_IN if x.label in ("PERSON", "EMAIL_ADDRESS"))))
+
+
+@query("process_files", f"""SELECT name || '.docx' AS input_name, name || '.redacted.docx' AS output_name, '/api/file/' || name || '.redacted.docx' AS output_url, n_spans AS found, 'docx' AS filetype, 200 AS status, redacted FROM (SELECT *, 'doc' || doc_id AS name FROM ({O.spliced(RU, _ASKED, O.smart_mask('label', 'span'))}))""")
 def process_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = russian(spark, sf_dir)
     files = docs.select(F.concat(F.lit("in/doc"), F.col("doc_id").cast("string"), F.lit(".docx")).alias("name"), F.octet_length("text").cast("long").alias("length"), "text")

@@ -9,6 +9,8 @@ SURNAMES = ("Иванов", "Петрова", "Сидоров-Белый", "Ку
 NAMES = ("Иван", "Анна", "Пётр", "Мария", "Олег")
 PATRONYMICS = ("Иванович", "Петровна", "Олегович", "Андреевна")
 CITIES = ("Москва", "Казань", "Тверь")
+#: Published example numbers, two valid and two not.
+IBANS = ("GB82WEST12345698765432", "DE89370400440532013000", "GB82WEST12345698765433", "DE00370400440532013000")
 ENGLISH_NAMES = ("John Smith", "Mary Jones", "Peter O Neil", "Ann Lee")
 
 
@@ -31,6 +33,8 @@ FIELDS = {
     "passport_id": f"{digits('k * 17', 2)} || ' ' || {digits('k * 19', 2)} || ' ' || {digits('k * 101', 6)}",
     "address": f"'г. ' || {pick(CITIES, 'k')} || ', ул. Ленина, д. ' || CAST(k % 90 + 1 AS STRING) || chr(10) || {digits('k * 97', 6)}",
     "birth_date": f"{digits('k % 28 + 1', 2)} || '.0' || CAST(k % 9 + 1 AS STRING) || '.19' || {digits('k % 50 + 50', 2)}",
+    "ssn": f"{digits('k * 29', 3)} || '-' || {digits('k * 3', 2)} || '-' || {digits('k * 7', 4)}",
+    "iban": pick(IBANS, "(k - k % 4) % 11"),
     "ip": "CAST(k % 256 AS STRING) || '.0.' || CAST(k % 300 AS STRING) || '.1'",
 }
 #: Texts in which names, documents, addresses and headings meet; f stands for the fields.
@@ -38,7 +42,7 @@ TEXT = (
     "CASE k % 4"
     " WHEN 0 THEN 'Меня зовут ' || full_name || '. Моя почта ' || email || '. Мой телефон ' || phone || '. Номер карты ' || bank || '.' || chr(10)"
     " WHEN 1 THEN 'ФИО: ' || full_name || chr(10) || 'E-mail: ' || email || chr(10) || 'Паспорт: серия ' || passport_id || chr(10) || 'Адрес: ' || address || chr(10)"
-    " WHEN 2 THEN 'Договор подписали ' || surname || ' ' || initials || ' и ' || initials || surname || '. Хост ' || ip || '; тел. ' || phone || ', карта ' || bank || '!'"
+    " WHEN 2 THEN 'Договор подписали ' || surname || ' ' || initials || ' и ' || initials || surname || '. Хост ' || ip || '; тел. ' || phone || ', карта ' || bank || '! SSN ' || ssn || CASE k % 8 WHEN 2 THEN '-1' ELSE '' END || ' IBAN ' || iban"
     " ELSE 'Содержание Введение' || chr(10) || 'Список Литературы. ' || full_name || ' живёт: ' || address || '. Звонить после обеда' END"
 )
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,6 +82,43 @@ def read_documents(spark: SparkSession, path: str, readers: dict[str, Callable[[
     return spark.read.format("binaryFile").load(path).select("path", "length", "content").mapInPandas(read, "path string, length long, text string")
 
 
+#: What a writer gets beside the bytes: (label, text, what stands for it) of each span.
+Replacements = list[tuple[str, str, str]]
+Writer = Callable[[bytes, Replacements], bytes]
+
+
+def _plain_writer(data: bytes, spans: Replacements) -> bytes:
+    """Every occurrence of each span's text replaced; a space stands for any run of white space."""
+    text = data.decode("utf-8", "replace")
+    for _, old, new in spans:
+        if old:
+            text = re.sub(r"[\s\u00a0]+".join(map(re.escape, old.split(" "))), lambda m, new=new: new, text)
+    return text.encode()
+
+
+#: Writers of binary formats, beside READERS. Those of PDF and DOCX are the caller's; there is none here.
+WRITERS: dict[str, Writer] = {".txt": _plain_writer, ".html": _plain_writer}
+
+
+def rewritten(replacement: Callable[[Column, Column], Column], writers: dict[str, Writer] | None = None, name_col: str = "path", content_col: str = "content", spans_col: str = "spans") -> Column:
+    """The bytes of each file with its spans replaced by the writer of its suffix; null where there is none.
+
+    Files without spans stay byte for byte. replacement: from label and text to what stands for it.
+    """
+    known = {**WRITERS, **(writers or {})}
+    wanted = F.transform(spans_col, lambda s: F.struct(s["label"].alias("label"), s["text"].alias("text"), replacement(s["label"], s["text"]).alias("new")))
+
+    def write(columns: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for kinds, contents, spans in columns:
+            out = []
+            for kind, content, own in zip(kinds.to_pylist(), contents.to_pylist(), spans.to_pylist(), strict=True):
+                fine = kind in known and content is not None
+                out.append(None if not fine else known[kind](content, [(s["label"], s["text"], s["new"]) for s in own]) if own else content)
+            yield pa.array(out, pa.binary())
+
+    return F.arrow_udf(write, "binary")(suffix(F.col(name_col)), F.col(content_col), wanted)
+
+
 def suffix(name: Column) -> Column:
     return F.lower(F.regexp_extract(name, r"(\.[^./]+)$", 1))
 
@@ -110,7 +150,11 @@ def public_url(name: Column) -> Column:
 
 
 def attachment(name: Column) -> Column:
-    """The header for a download: an ASCII name (accents dropped) and the full one in percent form."""
-    plain = F.regexp_replace(F.translate(name, "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ", "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"), r"[^\x20-\x7E]", "")
-    fallback = F.when(stem(plain).rlike("^[ .]*$"), F.concat(F.lit("download"), suffix(name))).otherwise(plain)
+    """The header for a download: an ASCII name (NFKD, the rest dropped) and the full one in percent form."""
+    def to_ascii(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for names in columns:
+            yield pa.array([None if x is None else unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode() for x in names.to_pylist()], pa.string())
+
+    plain = F.when(name.rlike(r"^[\x20-\x7E]*$"), name).otherwise(F.arrow_udf(to_ascii, "string")(name))
+    fallback = F.when(plain == "", F.concat(F.lit("download"), suffix(name))).otherwise(plain)
     return F.concat(F.lit('attachment; filename="'), fallback, F.lit("\"; filename*=UTF-8''"), F.replace(F.url_encode(name), F.lit("+"), F.lit("%20")))
