@@ -36,8 +36,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
         for batch in batches:
             ids, rows = batch.column(0), []
             take = []
-            for r, text in enumerate(batch.column(1).to_pylist()):
-                data = own.ids(text) + end
+            for r, found in enumerate(own.all_ids(batch.column(1).to_pylist())):
+                data = found + end
                 n = len(data) // 4
                 for k, at in enumerate(range(0, n, capacity)):
                     length = min(capacity, n - at)
@@ -86,7 +86,7 @@ def configurations(counts: dict[int, int], capacity: int = 2048, rounds: int = R
     # The price of a length starts at its share of a sequence, which is the dual of the bound by total size.
     price = np.where(left > 0, np.arange(capacity + 1) / capacity, 0.0)
     cover: dict[tuple, float] = {}
-    for _ in range(rounds if left.sum() > 10 * capacity else 0):
+    for _ in range(rounds):
         found = _priciest(price, capacity)
         if not found:
             break
