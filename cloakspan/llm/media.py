@@ -1,7 +1,7 @@
 """Media columns: payloads kept as grey pictures in archives, read back by a data source of byte ranges.
 
 An archive is a file of members (PNG pictures) followed by its directory: offset, size, CRC and id of each member, and
-a footer. The data source lists archives and their sizes, plans ranges of bytes, and each task reads the directory of
+a footer. The data source reads the manifest of archives and their sizes, plans ranges of bytes, and each task reads the directory of
 its archive, takes the members that begin in its range, streams them in Arrow batches of bounded size, and retries a
 member by its offset when what it read doesn't have the member's CRC.
 """
@@ -9,7 +9,6 @@ member by its offset when what it read doesn't have the member's CRC.
 from __future__ import annotations
 
 import hashlib
-import json
 import struct
 import time
 import uuid
@@ -18,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow.dataset import dataset
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -90,11 +90,11 @@ def _store(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def write_archives(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> list[dict]:
-    """One archive for each input partition under folder, a URI that all executors see: name, size, members of each.
+def write_archives(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """One archive for each input partition under folder, a URI that all executors see, and a manifest: name, size, members of each.
 
-    A task writes to a name of its own, and only what finished tasks return is listed: a task that ran twice leaves an
-    unlisted file. The list has a row for each task.
+    A task writes to a name of its own, and only what finished tasks return is in the manifest: a task that ran twice
+    leaves an unlisted file. The manifest is a table in the folder, with a row for each task.
     """
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +117,7 @@ def write_archives(docs: DataFrame, folder: str, id_col: str = "doc_id", text_co
         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([size], pa.int64()), pa.array([len(entries)], pa.int64())], ["name", "size", "members"])
 
     own = docs.select(F.col(id_col).cast("long"), F.col(text_col))
-    return [r.asDict() for r in own.mapInArrow(save, "name string, size long, members long").collect()]
+    own.mapInArrow(save, "name string, size long, members long").write.mode("overwrite").parquet(f"{folder}/manifest")
 
 
 class _Range(InputPartition):
@@ -127,10 +127,13 @@ class _Range(InputPartition):
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict) -> None:
-        self.folder, self.archives, self.range = options["path"], json.loads(options["archives"]), int(options.get("rangebytes", 16 << 20))
+        self.folder, self.range = options["path"], int(options.get("rangebytes", 16 << 20))
 
     def partitions(self) -> list[_Range]:
-        found = [_Range(a["name"], a["size"], low, min(a["size"], low + self.range)) for a in self.archives if a["members"] for low in range(0, a["size"], self.range)]
+        """Planned from the manifest; a task gets its own range only."""
+        store, root = _store(self.folder)
+        archives = dataset(f"{root}/manifest", filesystem=store, format="parquet").to_table().to_pylist()
+        found = [_Range(a["name"], a["size"], low, min(a["size"], low + self.range)) for a in archives if a["members"] for low in range(0, a["size"], self.range)]
         return found or [_Range("", 0, 0, 0)]
 
     @staticmethod
@@ -167,7 +170,7 @@ class _Reader(DataSourceReader):
 
 
 class ArchiveSource(DataSource):
-    """spark.read.format("archive").option("path", folder).option("archives", JSON of write_archives' list)"""
+    """spark.read.format("archive").load(folder), of a folder of write_archives"""
 
     @classmethod
     def name(cls) -> str:
@@ -180,9 +183,9 @@ class ArchiveSource(DataSource):
         return _Reader(self.options)
 
 
-def read_archives(spark: SparkSession, folder: str, archives: list[dict]) -> DataFrame:
+def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     spark.dataSource.register(ArchiveSource)
-    return spark.read.format("archive").option("path", folder).option("archives", json.dumps(archives)).load()
+    return spark.read.format("archive").load(folder)
 
 
 def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -193,7 +196,8 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     spark = docs.sparkSession
     folder = new_folder(spark, "archives")
-    stored = read_archives(spark, folder, write_archives(docs, folder, id_col, text_col))
+    write_archives(docs, folder, id_col, text_col)
+    stored = read_archives(spark, folder)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
