@@ -2,25 +2,23 @@
 
 Two lines within `edits` edits that are cut into edits + 1 segments share one segment unchanged, at a place that the
 number of edits bounds. So each distinct line is indexed by its segments under (size, segment number) and probes the
-index with its substrings at those places. Lines that meet there are cut into more segments and must meet again on
-several of them at once. Pairs that do are verified by the banded bit-parallel edit distance, the likeliest of a line
-first. All steps are DataFrame functions.
+index with its substrings at those places. Lines that meet there are first compared with the earliest of them; those
+that aren't near to it make pairs with others whose signatures, of which an edit changes few bits, are near. Pairs are
+verified by the banded bit-parallel edit distance, the likeliest of a line first. All steps are DataFrame functions.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_ROWS, clash_free, small_enough, written
+from .shared import BROADCAST_ROWS, clash_free, deleted, small_enough, written
 
 
 #: Near copies of a line: a word or number of a few letters changed, also in two or three places.
 EDITS = 3
-#: So many segments are compared at once when lines that share one are looked at again.
-AGAIN = 2
+#: Keys of more lines are crowded: their lines are compared only if they also share a run of GRAM characters that is rare there.
+CROWD, GRAM = 2048, 3
 
 
 def _sizes(length: str, edits: int, parts: int) -> list[str]:
@@ -31,32 +29,15 @@ def _sizes(length: str, edits: int, parts: int) -> list[str]:
     return [f"CAST(floor(pow(1.2D, floor(ln(greatest(1, {length} + {d})) / ln(1.2D))) / {parts}) AS int)" for d in (0, -edits, edits)]
 
 
-def _moves(edits: int, same: int) -> list[list[tuple[int, int]]]:
-    """For edits + same segments: (number, shift) of `same` that may be without an edit, with each shift they may have.
+def _moves(edits: int) -> list[tuple[int, int]]:
+    """For edits + 1 segments: (number, shift) of one that may be without an edit, with each shift it may have.
 
     Segments of the first half are counted from the line's begin and the others from its end, and what is between
-    belongs to the last of the first half. A shift comes of edits further out in the same half, an edit for each place.
+    belongs to the last of the first half. A shift comes of edits further out in the same half, an edit for each place;
+    some segment i has no edit while exactly i edits are left of it.
     """
-    parts, out = edits + same, []
-    half = (parts + 1) // 2
-
-    def ways(left: list[int], untouched: set[int], budget: int, shift: int = 0) -> list[tuple[list[tuple[int, int]], int]]:
-        if not left:
-            return [([], 0)]
-        i, *rest = left
-        if i in untouched:
-            return [([(i, shift), *w], n) for w, n in ways(rest, untouched, budget, shift)]
-        return [(w, n + abs(d)) for d in range(-budget, budget + 1) for w, n in ways(rest, untouched, budget - abs(d), shift + d)]
-
-    for chosen in combinations(range(parts), same):
-        for a, x in ways(list(range(half)), set(chosen), edits):
-            for b, y in ways(list(range(parts - 1, half - 1, -1)), set(chosen), edits):
-                if x + y <= edits and (found := sorted(a + b)) not in out:
-                    out.append(found)
-    if same == 1:
-        # Some segment i has no edit while exactly i edits are left of it.
-        out = [[(i, d)] for ((i, d),) in out if abs(d) <= (i if i < half else edits - i)]
-    return out
+    half = (edits + 2) // 2
+    return [(i, d) for i in range(edits + 1) for d in range(-edits, edits + 1) if abs(d) <= (i if i < half else edits - i)]
 
 
 def _begin(i: str, size: str, length: str, parts: int) -> str:
@@ -67,26 +48,13 @@ def _one_segment_keys(line: str, length: str, edits: int) -> Column:
     """Keys of single segments, of which two lines within `edits` edits share one that is the own one of either."""
     parts, keys = edits + 1, []
     for n, size in enumerate(sizes := _sizes(length, edits, parts)):
-        for ((i, d),) in _moves(edits, 1):
+        for i, d in _moves(edits):
             begin = f"({_begin(str(i), size, length, parts)} + {d})"
             other = f"{size} <> {sizes[0]} AND " if n else ""
             keys.append(f"IF({other}{begin} >= 0 AND {begin} + {size} <= {length}, xxhash64({size}, {i}, substring({line}, {begin} + 1, {size})), NULL)")
     return F.array_distinct(F.array_compact(F.array(*map(F.expr, keys))))
 
 
-def _segment_keys(line: str, length: str, edits: int, same: int) -> Column:
-    """k, is_own: keys of `same` segments, of which two lines within `edits` edits share one that is the own one of either."""
-    parts = edits + same
-    moves = ",".join("array(" + ",".join(f"named_struct('i', {i}, 'd', {d})" for i, d in m) + ")" for m in _moves(edits, same))
-    begin = f"{_begin('m.i', 'size', length, parts)} + m.d"
-    pieces = f"transform(ms, m -> IF({begin} >= 0 AND {begin} + size <= {length}, substring({line}, {begin} + 1, size), NULL))"
-    key = f"named_struct('k', xxhash64(size, transform(ms, m -> m.i), pieces), 'is_own', size = sizes[0] AND forall(ms, m -> m.d = 0))"
-    found = f"element_at(transform(array({pieces}), pieces -> IF(exists(pieces, p -> p IS NULL), NULL, {key})), 1)"
-    keys = f"flatten(transform(sizes, size -> transform(array({moves}), ms -> {found})))"
-    sizes = f"array_distinct(array({','.join(_sizes(length, edits, parts))}))"
-    return F.array_distinct(F.expr(f"element_at(transform(array({sizes}), sizes -> filter({keys}, x -> x IS NOT NULL)), 1)"))
-
-
 def with_edit_distance(pairs: DataFrame, a: str, b: str, edits: int, out: str = "distance") -> DataFrame:
     """pairs with the edit distance of columns a and b, code points counted, where it is `edits` at most; edits + 1 where it is more.
 
@@ -117,14 +85,56 @@ def with_edit_distance(pairs: DataFrame, a: str, b: str, edits: int, out: str =
     return rows.withColumn(out, F.least(distance, F.lit(edits + 1))).drop(p, t, m, n)
 
 
+def _chars(line: str, body: str) -> Column:
+    """body with the line's characters as c."""
+    return F.expr(f"element_at(transform(array(split({line}, '')), c -> {body}), 1)")
+
+
+def _signature(line: str) -> Column:
+    """s1, s2: for each of 128 classes of two running characters, whether their number is odd. An edit changes four of them at most."""
+    bits = "transform(sequence(0, greatest(0, size(c) - 2)), i -> CAST(pmod(xxhash64(get(c, i), get(c, i + 1)), 128) AS int))"
+    odd = lambda low: f"aggregate(b, 0L, (acc, x) -> acc ^ IF(x BETWEEN {low} AND {low + 63}, shiftleft(1L, x - {low}), 0L))"
+    return _chars(line, f"element_at(transform(array({bits}), b -> named_struct('s1', {odd(0)}, 's2', {odd(64)})), 1)")
+
+
+def _apart(a: str, b: str) -> Column:
+    return F.bit_count(F.col(f"{a}.s1").bitwiseXOR(F.col(f"{b}.s1"))) + F.bit_count(F.col(f"{a}.s2").bitwiseXOR(F.col(f"{b}.s2")))
+
+
+def _may_be_near(a: str, b: str, edits: int) -> Column:
+    """Whether line a comes before b and may be within the edits; what it denies is not."""
+    return (F.col(f"{a}.first") < F.col(f"{b}.first")) & (F.abs(F.col(f"{a}.length") - F.col(f"{b}.length")) <= edits) & (_apart(a, b) <= 4 * edits)
+
+
+def _near_pair() -> list[Column]:
+    return [F.col("a.h1").alias("early"), F.col("b.h1").alias("late"), _apart("a", "b").alias("apart")]
+
+
+def _grams(line: str) -> Column:
+    """The distinct runs of GRAM characters, hashed."""
+    return _chars(line, f"array_distinct(transform(sequence(0, greatest(0, size(c) - {GRAM})), i -> xxhash64({', '.join(f'get(c, i + {j})' for j in range(GRAM))})))")
+
+
+def _rare(grams: str, leader: str, edits: int) -> Column:
+    """The first runs of a line, those ahead that its crowd's leader doesn't have.
+
+    An edit changes GRAM runs at most. So of two lines within the edits, if the runs of both are put in one order, the
+    first GRAM * edits + 1 have one in common. Lines with few runs, which may all be changed, also share one key.
+    """
+    touched = GRAM * edits
+    ordered = F.concat(F.array_sort(F.array_except(grams, leader)), F.array_sort(F.array_intersect(grams, leader)))
+    few = F.when(F.size(grams) <= 2 * touched, F.array(F.lit(0).cast("long"))).otherwise(F.array().cast("array<long>"))
+    return F.array_union(F.slice(ordered, 1, touched + 1), few)
+
+
 def repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """key, text_hash, gone: for each row (by id and text) that has some, the numbers (from 0) of its repeated lines.
 
     A line is repeated if an equal line, or one of min_chars or more within `edits` edits (this line having min_chars
     or more too), comes earlier: in a row with a smaller id (nulls last; of equal ids, the smaller hash of the text),
     or further up in the row. Lines are judged on the input, not on what is left. Blank lines are never repeated.
+    Lines and texts of any length count whole.
     """
-    spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("key"), F.xxhash64(text_col).alias("text_hash"), F.split(F.coalesce(F.col(text_col), F.lit("")), "\n").alias("lines"))
     placed = texts.select("key", "text_hash", F.posexplode_outer("lines").alias("at", "line")).where(F.trim("line") != "")
     hashed = [F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2")]
@@ -135,34 +145,48 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = 20, id_
     each = placed.withColumn("length", F.char_length("line")).select("key", "text_hash", "at", *hashed, keys)
     distinct = written(each.groupBy("h1", "h2").agg(first, F.first("keys").alias("keys")), "lines")
     segments = distinct.select("h1", "h2", F.explode("keys").alias("k"))
-    shared = written(segments.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k"), "segments")
-    suspects = written(segments.join(small_enough(shared, BROADCAST_ROWS), "k").drop("k").dropDuplicates(["h1", "h2"]), "suspects")
-    wanted = placed.where(long).select("key", "text_hash", "at", "line", *hashed).join(small_enough(suspects, BROADCAST_ROWS // 4), ["h1", "h2"])
-    wanted = written(wanted.groupBy("h1", "h2").agg(F.first("line").alias("line"), first), "wanted")
-
-    lines = wanted.withColumn("length", F.char_length("line"))
-    each = lines.select("h1", F.explode(_segment_keys("line", "length", edits, AGAIN)).alias("x")).select("h1", "x.k", "x.is_own")
-    # Keys of one line only, nearly all, fall away in the aggregate.
-    shared = written(each.groupBy("k").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a < b").select("k"), "segments")
-    kept = written(each.join(small_enough(shared, BROADCAST_ROWS), "k").distinct(), "segments")
-    met = kept.where("is_own").alias("a").join(kept.alias("b"), F.col("a.k") == F.col("b.k")).where(F.col("a.h1") != F.col("b.h1")).where(~F.col("b.is_own") | (F.col("a.h1") < F.col("b.h1")))
-    pairs = met.groupBy(F.least("a.h1", "b.h1").alias("x"), F.greatest("a.h1", "b.h1").alias("y")).agg(F.count("*").alias("n"))
-    of = lambda side: wanted.select(F.col("h1").alias(side), F.col("first").alias(f"{side}_first"), F.char_length("line").alias(f"{side}_length"))
-    pairs = pairs.join(of("x"), "x").join(of("y"), "y").where(F.abs(F.col("x_length") - F.col("y_length")) <= edits)
-    ahead = F.col("x_first") < F.col("y_first")
-    pairs = written(pairs.select(F.when(ahead, F.col("x")).otherwise(F.col("y")).alias("early"), F.when(ahead, F.col("y")).otherwise(F.col("x")).alias("late"), "n"), "line-pairs")
+    shared = written(segments.groupBy("k").agg(F.count("*").alias("n")).where("n > 1"), "segments")
+    kept = written(segments.join(small_enough(shared), "k"), "segments")
+    suspects = small_enough(written(kept.select("h1", "h2").distinct(), "suspects"), BROADCAST_ROWS // 4)
+    wanted = placed.where(long).select("key", "text_hash", "at", "line", *hashed).join(suspects, ["h1", "h2"])
+    wanted = wanted.groupBy("h1", "h2").agg(F.first("line").alias("line"), first).withColumn("length", F.char_length("line"))
+    wanted = written(wanted.withColumn("s", _signature("line")).select("*", "s.*").drop("s"), "wanted")
+    marks = ["h1", "length", "first", "s1", "s2"]
+    keyed = written(kept.join(wanted.select("h2", *marks), ["h1", "h2"]).select("k", "n", F.struct(*marks).alias("b")), "keyed")
+    deleted(shared, kept)
 
     def measured(pairs: DataFrame) -> DataFrame:
+        """late: of each late line the likeliest pair is measured first, and the others where that is too far."""
         of = lambda side: wanted.select(F.col("h1").alias(side), F.col("line").alias(f"{side}_line"))
-        near = with_edit_distance(pairs.join(of("early"), "early").join(of("late"), "late"), "early_line", "late_line", edits)
+        near = with_edit_distance(pairs.select("early", "late").join(of("early"), "early").join(of("late"), "late"), "early_line", "late_line", edits)
         # Written before it is filtered: a filter would be pushed down with a copy of all steps.
         return written(near.drop("early_line", "late_line"), "measured").where(F.col("distance") <= edits).select("late").distinct()
 
-    # One near line ahead is enough: that with the most keys in common is measured first, and the others where it is too far.
-    likely = pairs.groupBy("late").agg(F.max_by("early", F.struct("n", "early")).alias("early"))
-    soon = measured(likely)
-    found = soon.unionByName(measured(pairs.join(soon, "late", "left_anti").select("early", "late")))
+    nearest = lambda pairs: pairs.groupBy("late").agg(F.min_by("early", F.struct("apart", "early")).alias("early"))
+    # What is near to the first line of one of its keys needs no other; so a crowd of near copies takes a pair for each line.
+    leaders = keyed.groupBy("k").agg(F.min_by("b", "b.first").alias("a"))
+    tied = measured(nearest(keyed.join(leaders, "k").where(_may_be_near("a", "b", edits)).select(*_near_pair())))
+    done = small_enough(tied)
+    few = keyed.where(F.col("n") <= CROWD)
+    early = few.select(F.col("k").alias("k_"), F.col("b").alias("a"))
+    pairs = early.join(few.join(done, F.col("b.h1") == F.col("late"), "left_anti"), (F.col("k") == F.col("k_")) & _may_be_near("a", "b", edits)).select(*_near_pair())
+
+    # Lines of crowded keys meet on what their leader doesn't have.
+    many = keyed.where(F.col("n") > CROWD).drop("n")
+    in_crowds = written(many.select(F.col("b.h1").alias("h1")).distinct(), "crowd")
+    grams = written(wanted.join(small_enough(in_crowds), "h1", "left_semi").select("h1", _grams("line").alias("gs")), "grams")
+    heads = leaders.join(small_enough(many.select("k").distinct()), "k", "left_semi").join(grams, F.col("a.h1") == F.col("h1")).select("k", F.col("gs").alias("leader"))
+    rare = many.join(grams, F.col("b.h1") == F.col("h1")).join(heads, "k").select("k", "b", F.explode(_rare("gs", "leader", edits)).alias("g"))
+    rare = written(rare, "rare")
+    early = rare.select(F.col("k").alias("k_"), F.col("g").alias("g_"), F.col("b").alias("a"))
+    late = rare.join(done, F.col("b.h1") == F.col("late"), "left_anti")
+    crowded = early.join(late, (F.col("k") == F.col("k_")) & (F.col("g") == F.col("g_")) & _may_be_near("a", "b", edits)).select(*_near_pair())
+
+    pairs = written(pairs.unionByName(crowded).distinct(), "line-pairs")
+    soon = measured(nearest(pairs))
+    found = tied.unionByName(soon).unionByName(measured(pairs.join(soon, "late", "left_anti")))
     linked = written(found.select(F.col("late").alias("h1")).distinct().join(wanted.select("h1", "h2"), "h1").withColumn("linked", F.lit(True)), "linked")
+    deleted(keyed, in_crowds, grams, rare, pairs, wanted)
 
     verdict = distinct.drop("keys").join(linked, ["h1", "h2"], "left")
     here = F.struct("key", "text_hash", "at")

@@ -225,10 +225,6 @@ def test_lines_within_the_edits_share_keys(spark, edits, length):
         pairs.append(("".join(a), "".join(b)))
     df = spark.createDataFrame(pairs, "a string, b string").withColumns({"la": F.char_length("a"), "lb": F.char_length("b")})
     assert df.where(F.size(F.array_intersect(LD._one_segment_keys("a", "la", edits), LD._one_segment_keys("b", "lb", edits))) == 0).count() == 0
-    own = lambda keys: F.transform(F.filter(keys, lambda x: x["is_own"]), lambda x: x["k"])
-    ks = lambda keys: F.transform(keys, lambda x: x["k"])
-    ka, kb = (LD._segment_keys(x, f"l{x}", edits, LD.AGAIN) for x in "ab")
-    assert df.where((F.size(F.array_intersect(own(ka), ks(kb))) == 0) & (F.size(F.array_intersect(ks(ka), own(kb))) == 0)).count() == 0
 
 
 def test_line_cases(spark):
@@ -240,3 +236,49 @@ def test_line_cases(spark):
     assert sorted(r.doc_id or -1 for r in left.collect()) == [-1, -1, 5, 7, 8]
     assert LD.line_dedup(table(spark, [])).count() == 0
     assert out.select(F.sum("n_lines")).first()[0] == 9
+
+
+def test_a_long_text_and_many_items(spark, monkeypatch):
+    """A text of 20,000 words and more items than the plan's sets take; the overlap crosses a block's end."""
+    monkeypatch.setattr(D, "SET_ROWS", 100)
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    items = [(k, " ".join(word() for _ in range(50))) for k in range(200)]
+    own = [word() for _ in range(20_000)]
+    own[D.BLOCK - 20 : D.BLOCK + 30] = items[7][1].split()
+    found = D.overlaps(table(spark, [(1, " ".join(own)), (1, " ".join(own)), (2, "")]), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id, r.n_equal, r.first_word) for r in found] == [(1, 7, 50, D.BLOCK - 20)]
+
+
+def test_a_crowd_of_lines_is_linked_without_all_pairs(spark, monkeypatch):
+    """5,000 lines that differ in one place, and 600 that differ by a long word: no table has the square of them."""
+    rng, sizes = random.Random(6), []
+    base = "the quick report of the northern office was sent to all of its members on a cold morning in the spring"
+    docs = [(k, base[:50] + chr(0x4E00 + k) + base[51:]) for k in range(5000)]
+    docs += [(10_000 + k, base.upper()[:40] + "".join(rng.choice("abcdefghijklmnop") for _ in range(14)) + base.upper()[40:]) for k in range(600)]
+    write = LD.written
+    monkeypatch.setattr(LD, "written", lambda df, name: (out := write(df, name), sizes.append((name, out.count())))[0])
+    left = LD.line_dedup(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in left.where("text <> ''").collect()) == [0, *(i for i, _ in docs[5000:])]
+    assert max(n for name, n in sizes if name in ("line-pairs", "measured")) < 15_000, sizes
+
+
+@pytest.mark.parametrize("crowd", [0, 3])
+def test_crowded_lines_against_brute_force(spark, monkeypatch, crowd):
+    monkeypatch.setattr(LD, "CROWD", crowd)
+    rng = random.Random(crowd)
+    lines = []
+    for _ in range(6):
+        base = [rng.choice("abcdefgh ") for _ in range(rng.randint(22, 45))]
+        for _ in range(25):
+            own = list(base)
+            for _ in range(rng.randint(0, 7)):
+                k = rng.randrange(len(own))
+                own[k : k + 1] = rng.choice([[], ["x"], ["y", own[k]], ["z"]])
+            lines.append("".join(own))
+    lines += ["a" * 30, "a" * 32, "a" * 35, "a" * 29 + "b", "ab" * 15, "ab" * 16]
+    rng.shuffle(lines)
+    out = {r.doc_id: r.text for r in LD.line_dedup(table(spark, list(enumerate(lines)))).collect()}
+    for i, line in enumerate(lines):
+        near = any(line == p or (min(len(line), len(p)) >= 20 and abs(len(line) - len(p)) <= 3 and distance(line, p) <= 3) for p in lines[:i])
+        assert out[i] == ("" if near else line), line
