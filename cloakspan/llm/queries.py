@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, license_scan, line_dedup, media, near_dedup, packing, quality, substring_dedup, token_output, toxicity
+from . import decontaminate, license_scan, line_dedup, media, near_dedup, oracle, packing, quality, substring_dedup, token_output, toxicity
 from .shared import new_folder
 
 
@@ -29,7 +29,7 @@ def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes the shards and reads them back: a row per sequence, with its slot and its place in the shards."""
     folder = new_folder(spark, "shards")
     n = token_output.write_shards(_table(spark, sf_dir, "documents"), tokenizer_path(), folder)
-    return token_output.read_shards(spark, folder, n).drop("ids")
+    return token_output.read_shards(spark, folder, n, with_ids=False)
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,4 +73,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": license_scan.oracle()}
+    return {
+        "op1_license_scan": license_scan.oracle(),
+        "op3_line_dedup": oracle.LINE_DEDUP,
+        "op4_near_dedup": oracle.NEAR_DEDUP,
+        "op5_decontamination": oracle.DECONTAMINATION,
+        "op9_substring_dedup": oracle.SUBSTRING_DEDUP,
+    }

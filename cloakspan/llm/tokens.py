@@ -6,7 +6,6 @@ import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import groupby
 
 import numpy as np
 
@@ -41,12 +40,12 @@ class PairMerges:
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return np.where((self.keys[at] == keys) & (b >= 0), self.ranks[at], len(self.keys)).astype(np.int32)
 
-    def ids(self, words: list[bytes]) -> list[bytes]:
-        """For words of equal length, the ids of each as unsigned 32-bit numbers."""
-        raw = np.frombuffer(b"".join(words), np.uint8).reshape(len(words), -1)
+    def ids(self, words: bytes, size: int) -> list[bytes]:
+        """For words of `size` bytes, one after the other, the ids of each as unsigned 32-bit numbers."""
+        raw = np.frombuffer(words, np.uint8).reshape(-1, size)
         ids = self.inner[raw]
         ids[:, -1] = self.last[raw[:, -1]]
-        size, rows = ids.shape[1], np.arange(len(words))
+        rows = np.arange(len(raw))
         # own: the words that may still have a pair, with a column of -1 behind; ranks: of each of their pairs.
         own, left = np.pad(ids, ((0, 0), (0, 1)), constant_values=-1), rows
         ranks = np.pad(self._rank(ids[:, :-1], ids[:, 1:]), ((0, 0), (0, 2)), constant_values=len(self.keys))
@@ -127,17 +126,19 @@ class WordEncoder:
         self.words, self.parts = _Memory(), _Memory()
 
     def _learn_parts(self, parts: list[str]) -> None:
-        late, short = self.parts.late, []
+        late, by_size = self.parts.late, {}
         for part in parts:
-            data = part.encode()
-            if len(data) <= 32:
-                short.append((len(data), data, part))
+            size = len(part) if part.isascii() else len(part.encode())
+            if size in by_size:
+                by_size[size].append(part)
             else:
-                late[part] = np.array([x.id for x in self.tokenizer.model.tokenize("".join([self.letters[b] for b in data]))], "<u4").tobytes()
-        short.sort()
-        for _, same in groupby(short, key=lambda x: x[0]):
-            own = list(same)
-            late.update(zip([x[2] for x in own], self.merges.ids([x[1] for x in own]), strict=True))
+                by_size[size] = [part]
+        for size, same in by_size.items():
+            if size <= 32:
+                late.update(zip(same, self.merges.ids("".join(same).encode(), size), strict=True))
+                continue
+            for part in same:
+                late[part] = np.array([x.id for x in self.tokenizer.model.tokenize("".join([self.letters[b] for b in part.encode()]))], "<u4").tobytes()
 
     def _learn(self, words: list[str]) -> None:
         """Words of other than plain characters, or with marks of special tokens."""
