@@ -14,7 +14,7 @@ REMEMBERED = 200_000
 #: Longer words are remembered only for the texts at hand.
 LONGEST = 64
 #: Characters of text whose words are looked up at once, unless one text alone has more.
-AT_ONCE = 4 << 20
+AT_ONCE = 2 << 20
 #: Words of these characters alone are unchanged by NFC and are lower-cased letter by letter, so they can be split here.
 _PLAIN_TEXT = re.compile("[\t-\r -~¡-¬®-ÿ]*")
 _SPECIAL = "<|"
