@@ -1,8 +1,9 @@
 """Toxicity by a counterfactual-regularised classifier.
 
-A logistic model of the words that a text has, and of their beginnings, with an L1 penalty. Sentences are also taken with each identity term
-swapped for the terms of other groups, and the squared change of the score is penalised: what a text is called must not
-depend on whom it mentions.
+A logistic model of the words that a text has, and of their beginnings, with an L1 penalty. Labelled texts also count
+with each identity term swapped for the terms of other groups, and the squared change of the logit is penalised: what
+a text is called must not depend on whom it mentions. A swap changes two words of the text's set, so that the change is
+the difference of their weights and the swapped copies needn't be made; the score changes by a quarter of it at most.
 """
 
 from __future__ import annotations
@@ -18,9 +19,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import held_out, labelled_sample
+from .shared import deleted, written
 
 _WORD = re.compile(r"[^\W\d_]+")
-#: Neutral names of groups, by kind; a term is swapped for the others of its kind.
+#: Neutral names of groups in English, German, French and Spanish, by kind; a term is swapped for the others of its kind.
 IDENTITY_TERMS = (
     ("christian", "muslim", "jewish", "hindu", "buddhist", "atheist", "catholic", "sikh"),
     ("christians", "muslims", "jews", "hindus", "buddhists", "atheists", "catholics", "sikhs"),
@@ -31,12 +33,24 @@ IDENTITY_TERMS = (
     ("immigrant", "refugee", "native", "foreigner", "citizen"),
     ("immigrants", "refugees", "natives", "foreigners", "citizens"),
     ("deaf", "blind", "disabled", "autistic", "old", "young"),
+    ("christen", "muslime", "juden", "buddhisten", "atheisten", "katholiken"),
+    ("männer", "frauen", "jungen", "mädchen"),
+    ("schwule", "lesben", "heterosexuelle", "bisexuelle"),
+    ("einwanderer", "flüchtlinge", "ausländer", "einheimische"),
+    ("chrétiens", "musulmans", "juifs", "hindous", "bouddhistes", "athées", "catholiques"),
+    ("hommes", "femmes", "garçons", "filles"),
+    ("gays", "lesbiennes", "hétérosexuels", "bisexuels"),
+    ("immigrés", "réfugiés", "étrangers", "citoyens"),
+    ("cristianos", "musulmanes", "judíos", "hindúes", "budistas", "ateos", "católicos"),
+    ("hombres", "mujeres", "chicos", "chicas"),
+    ("homosexuales", "lesbianas", "heterosexuales", "bisexuales"),
+    ("inmigrantes", "refugiados", "extranjeros", "ciudadanos"),
 )
 TERMS = {t: k for k, group in enumerate(IDENTITY_TERMS) for t in group}
 PER_CLASS = 8_000
+#: The model takes so many words at most, those that speak most for toxicity, beside the identity terms.
 FEATURES = 600
 
-
 PREFIXES = (4, 5, 6, 7)
 
 
@@ -58,7 +72,7 @@ class ToxicityModel:
 
 
 def _swaps(words: list[str]) -> list[tuple[str, str]]:
-    """(term, other): the terms among the words, each with the others of its kind; where there is none, every kind's are compared."""
+    """(term, other): the terms among the words, each with the others of its kind."""
     return [(t, o) for t in words if t in TERMS for o in IDENTITY_TERMS[TERMS[t]] if o != t]
 
 
@@ -121,6 +135,7 @@ def fit(rows: list[tuple[set[str], int]], fair: float = 50.0, l1: float = 2e-4,
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic") -> ToxicityModel:
     """Learns from at most about per_class rows of each class, weighted by what they stand for, never from the held-out fold."""
     sample, counts = labelled_sample(docs, labels, label, per_class, id_col, text_col)
+    sample = written(sample, "sample")  # read three times below
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,7 +157,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col
 
     # A class that is sampled counts for all of its rows.
     weigh = tuple(max(1.0, counts.get(k, 0) / per_class) for k in (0, 1))
-    return fit([(set(r.words), int(r.y)) for r in sample.mapInArrow(keep, kind).collect()], weigh=weigh)
+    model = fit([(set(r.words), int(r.y)) for r in sample.mapInArrow(keep, kind).collect()], weigh=weigh)
+    deleted(sample)
+    return model
 
 
 def score(model: ToxicityModel, text: Column) -> Column:
