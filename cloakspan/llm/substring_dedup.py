@@ -14,15 +14,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import Words, mixed, stretches, words_of
 from .shared import deleted, written
 
 PERIOD, COVER = 7, (0, 1, 3)
-#: The place of a null id among the ids: after all.
-NO_ID = (1 << 63) - 1
+#: The place of a null id among the ids: after all. Rows without an id have keys from there on, by the hash of the text.
+NO_ID = (1 << 63) - (1 << 40)
+
+
+def _place(key: str) -> Column:
+    """The key's place in the order of ids, in which all rows without an id are equal."""
+    return F.least(F.col(key), F.lit(NO_ID))
 
 
 def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
@@ -58,13 +63,13 @@ def substring_dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
     A word goes if a window of `window` running words that covers it also begins in a text with a smaller id. Windows
     are judged on the input. Words are runs of anything but ASCII white space, unchanged.
     Windows are told by 64-bit hashes: with 10**12 shared windows, one in 10**7 may be taken for another.
-    Null or empty texts have no words. Null ids come after all others. Rows that share an id don't remove from each
-    other. Texts under the window's length lose nothing. Empty table: no rows. Other columns are ignored.
+    Null or empty texts have no words. Null ids come after all others (ids are below NO_ID). Rows that share an id don't remove from each
+    other. Texts under the window's length lose nothing; texts of any length count whole. Empty table: no rows. Other columns are ignored.
     """
     if window < PERIOD + 1:
         raise ValueError(f"window must be over {PERIOD}")
-    width, reach, spark = window - PERIOD + 1, PERIOD - 1, docs.sparkSession
-    keyed = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("key"), F.col(text_col).alias("text"))
+    width, reach = window - PERIOD + 1, PERIOD - 1
+    keyed = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID) + F.pmod(F.xxhash64(text_col), F.lit((1 << 40) - 1))).alias("key"), F.col(text_col).alias("text"))
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stretches(batches):
@@ -94,8 +99,8 @@ def substring_dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
 
     found = written(keyed.select("key", "text").join(mine, "key").mapInArrow(windows, "w long, key long"), "windows")
     deleted(mine)
-    firsts = written(found.groupBy("w").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last").drop("last"), "firsts")
-    gone = written(found.join(firsts, "w").where("key > first").groupBy("key").agg(F.collect_set("w").alias("dead")), "gone")
+    firsts = written(found.groupBy("w").agg(F.min(_place("key")).alias("first"), F.max(_place("key")).alias("last")).where("first < last").drop("last"), "firsts")
+    gone = written(found.join(firsts, "w").where(_place("key") > F.col("first")).groupBy("key").agg(F.collect_set("w").alias("dead")), "gone")
     deleted(found, firsts)
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
