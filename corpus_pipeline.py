@@ -48,12 +48,15 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: SQL has no tokenizer and no trained model; the tests hold the pipeline against a brute-force version.
+#: SQL has no tokenizer and no trained model; the tests hold each stage against planted cases, and its operator against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir; the rows of the last one."""
+    """All stages over the documents of sf_dir; the rows of the last one.
+
+    Empty table: no rows. Repeated rows: one of those with words stays. Null and empty texts stay, a piece each.
+    """
     docs = _table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
