@@ -5,10 +5,12 @@ the classes are branched by the least value that a chosen minwise hash gives the
 of the tokens chosen at each node. Nodes that are still large choose again (one coordinate, sometimes two, so that a
 similar pair is expected to stay together along one path a level); the pairs of small nodes are compared exhaustively,
 on a 2-bit minwise sketch, and those that may be similar enough are confirmed on the full sets. Nodes that stay large
-to the last level hold near copies of a text: each of their classes is compared with a few pivots and, in blocks that
-differ from tree to tree, with others. The nearest pivot of two trees is confirmed before that, so that only what it
-leaves untied is compared further. Links are merged to components; pairs already tied by confirmed links are not
-confirmed again.
+to the last level hold near copies of a text: each class that isn't tied to most others there is compared with all.
+
+Before that, each class is compared with a pivot or two of its nodes, that which is nearest to a sample of the node among
+them, and the nearest is confirmed: copies of a text are tied by as many pairs as there are copies, though they may not
+be similar enough to each other. Links are merged to components; pairs
+that confirmed links already tie are never listed.
 """
 
 from __future__ import annotations
@@ -22,11 +24,11 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .hashing import mixed, rolled, stretches, words_of
-from .shared import BROADCAST_ROWS, small_enough, written
+from .shared import deleted, small_enough, written
 
 COORDINATES = 64
 #: Of 64 two-bit coordinates, as many may differ: at similarity 0.8, 9.6 do on average (0.2 of which a quarter agree by chance), deviation 2.9.
-SKETCH_APART = 20
+SKETCH_APART = 25
 
 
 def shingle_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -51,24 +53,31 @@ def _minima(found: np.ndarray) -> np.ndarray:
     return out
 
 
+def _print_of(found: np.ndarray, seed: int) -> int:
+    """A 64-bit hash of the set."""
+    with np.errstate(over="ignore"):
+        total = found.sum() + mixed(found, seed).sum() * np.uint64(3) + np.uint64(len(found))
+    return int(mixed(np.array([total]), seed)[0].view(np.int64))
+
+
 def _signatures(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stretches(batches):
-            n, c, mh, s1, s2 = [], [], [], [], []
+            n, c, c2, mh, s1, s2 = [], [], [], [], [], []
             for found in shingle_sets(batch.column(2), k):
                 n.append(len(found))
                 if not len(found):
-                    c.append(None), mh.append(None), s1.append(None), s2.append(None)
+                    c.append(None), c2.append(None), mh.append(None), s1.append(None), s2.append(None)
                     continue
-                with np.errstate(over="ignore"):
-                    c.append(int(mixed(np.array([found.sum() + mixed(found, 3).sum() * np.uint64(3) + np.uint64(len(found))]))[0].view(np.int64)))
+                c.append(_print_of(found, 3))
+                c2.append(_print_of(found, 9))
                 least = _minima(found)
                 two = (mixed(least, 11) & np.uint64(3)) << (np.arange(COORDINATES, dtype=np.uint64) % np.uint64(32) * np.uint64(2))
                 mh.append(least.astype(np.uint32).view(np.int32))
                 s1.append(int(np.bitwise_or.reduce(two[:32]).view(np.int64)))
                 s2.append(int(np.bitwise_or.reduce(two[32:]).view(np.int64)))
-            own = [pa.array(x, t) for x, t in ((n, pa.int64()), (c, pa.int64()), (mh, pa.list_(pa.int32())), (s1, pa.int64()), (s2, pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *own], ["id", "text_hash", "n", "c", "mh", "s1", "s2"])
+            own = [pa.array(x, t) for x, t in ((n, pa.int64()), (c, pa.int64()), (c2, pa.int64()), (mh, pa.list_(pa.int32())), (s1, pa.int64()), (s2, pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *own], ["id", "text_hash", "n", "c", "c2", "mh", "s1", "s2"])
 
     return run
 
@@ -82,11 +91,15 @@ def _sets(k: int):
     return run
 
 
+def _differ(a: Column, b: Column) -> Column:
+    """In how many of 32 coordinates the halves of two sketches differ."""
+    x = a.bitwiseXOR(b)
+    return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+
+
 def _apart() -> Column:
-    """In how many coordinates two sketches differ."""
-    even = F.lit(0x5555555555555555)
-    differ = lambda s: F.bit_count((x := F.col(f"a.{s}").bitwiseXOR(F.col(f"b.{s}"))).bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(even))
-    return differ("s1") + differ("s2")
+    """In how many coordinates the sketches of a and b differ."""
+    return _differ(F.col("a.s1"), F.col("b.s1")) + _differ(F.col("a.s2"), F.col("b.s2"))
 
 
 def _may_link(least: float) -> Column:
@@ -97,53 +110,86 @@ def _pair() -> list[Column]:
     return [F.greatest("a.c", "b.c").alias("u"), F.least("a.c", "b.c").alias("v"), _apart().alias("apart")]
 
 
-#: So many trees' pivots are confirmed ahead of all other pairs.
-EARLY_TREES = 2
+#: So many classes of a large node show how near to the others a class is.
+SHOWN = 16
+#: Classes of a large node that a task compares with others at once.
+BLOCK = 512
+
 
+def told_apart(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """signed and its classes, as tables: rows of equal sets have the same c, all others another one.
 
-def branched(classes: DataFrame, trees: int, leaf: int, levels: int) -> tuple[list[DataFrame], DataFrame]:
-    """The small nodes of all trees, by level, and the large ones that are left at the last level (with their size)."""
+    A set has two hashes, c and c2. Where sets that differ in c2 agree in c, c is made anew of both; then a class is
+    told from others by all 128 bits.
+    """
+    while True:
+        own = [F.min(x).alias(x) for x in ("n", "s1", "s2", "mh", "c2")]
+        classes = signed.where("c is not null").groupBy("c").agg(F.min("id").alias("least"), F.min(F.struct("id", "text_hash")).alias("rep"), F.max("c2").alias("top"), *own)
+        classes = written(classes, "classes")
+        clash = classes.where("c2 <> top").select(F.col("c").alias("clash"))
+        if clash.isEmpty():
+            return signed, classes
+        new = F.when(F.col("clash").isNull(), F.col("c")).otherwise(F.xxhash64("c", "c2"))
+        before, signed = signed, written(signed.join(small_enough(clash), F.col("c") == F.col("clash"), "left").withColumn("c", new).drop("clash"), "signatures")
+        deleted(before, classes)
+
+
+def branched(classes: DataFrame, trees: int, leaf: int, levels: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """The small nodes of all trees, and the large ones that are left at the last level: c, n, s1, s2, tree, node, size; and the tables they are in."""
     slim = [F.col(x) for x in ("c", "n", "s1", "s2")]
     start = classes.select(*slim, F.explode(F.array(*[F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(t), F.get("mh", F.lit(t * 37 % COORDINATES))).alias("node")) for t in range(trees)])).alias("x"))
-    now = start.select(*slim, "x.tree", "x.node")
-    small = []
+    now, small, tables = start.select(*slim, "x.tree", "x.node"), None, []
     for level in range(1, levels + 1):
         now = written(now, "nodes")
         sizes = now.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
-        sized = now.join(sizes, "node")
-        small.append(sized.where(F.col("size") <= leaf).drop("size"))
+        sized = written(now.join(sizes, "node"), "sized")
+        deleted(now)
+        tables.append(sized)
+        few = sized.where(F.col("size") <= leaf)
+        small = few if small is None else small.unionByName(few)
         large = sized.where(F.col("size") > leaf)
         if level == levels or large.isEmpty():
-            break
+            return small, large, tables
         # The node chooses its next coordinate, and one in four nodes a second one.
         choose = lambda k: F.pmod(F.xxhash64("node", F.lit(k)), F.lit(COORDINATES)).cast("int")  # noqa: E731, B023
         down = lambda k: F.struct(F.xxhash64("node", F.lit(k), F.get("mh", choose(k))).alias("node"))  # noqa: E731, B023
         both = F.pmod(F.xxhash64("node", F.lit(-1)), F.lit(4)) == 0
         deep = large.drop("size").join(classes.select("c", "mh"), "c").withColumn("x", F.explode(F.when(both, F.array(down(0), down(1))).otherwise(F.array(down(0)))))
         now = deep.select("c", "n", "s1", "s2", "tree", "x.node")
-    return small, written(sized.where(F.col("size") > leaf), "large")
 
 
-def to_pivots(large: DataFrame, pivots: int, met: Column) -> DataFrame:
-    """a, b: the classes of large nodes (a) with the pivots of their node (b), where `met` holds."""
-    own = [F.col(x) for x in large.columns if x not in ("tree", "node", "size")]
-    picked = large.groupBy("node").agg(F.array(*[F.min(F.struct(F.xxhash64("c", "node", F.lit(p)).alias("h"), *own)) for p in range(pivots)]).alias("p"))
-    picked = picked.select(F.col("node").alias("pivot_node"), F.explode("p").alias("b")).select("pivot_node", "b.*")
-    return large.alias("a").join(picked.alias("b"), (F.col("a.node") == F.col("b.pivot_node")) & met)
+def with_centres(large: DataFrame) -> DataFrame:
+    """large with far: the distance of each class to SHOWN classes of its node. Copies of a text lie around it: it is the least far."""
+    own = F.struct("s1", "s2")
+    at = F.pmod(F.xxhash64("c", "node"), F.lit(SHOWN)).cast("int")
+    shown = large.groupBy("node", at.alias("at")).agg(F.min(F.struct(F.xxhash64("c", F.lit(1)).alias("h"), own.alias("x"))).alias("m")).groupBy("node").agg(F.collect_list("m.x").alias("shown"))
+    return large.join(shown, "node").withColumn("far", F.aggregate("shown", F.lit(0), lambda acc, x: acc + _differ(F.col("s1"), x["s1"]) + _differ(F.col("s2"), x["s2"]))).drop("shown")
 
 
-def candidates(small: list[DataFrame], large: DataFrame, similarity: float, leaf: int, pivots: int) -> DataFrame:
-    """u > v, apart: the pairs of classes (c, n, s1, s2) that share a small node, or a large one with a pivot or in a block, and whose sketches are near.
+def to_pivots(nodes: DataFrame, pivots: int, least: float) -> DataFrame:
+    """u, v: for each class its nearest pivot, of those of its nodes, if there is one that may be similar enough.
 
-    large has a root too: classes of one root are tied already and are no pair.
+    Pivots are the class that is least far, if nodes have that column, and others by a hash.
     """
-    apart = (F.col("a.root") != F.col("b.root")) & _may_link(similarity)
-    pairs = to_pivots(large, pivots, apart).select(*_pair())
-    block = F.xxhash64("node", F.lit("block"), F.pmod(F.xxhash64("c", "tree"), F.ceil(F.col("size") * 2 / leaf)))
-    for rows, also in [(large.withColumn("node", block), apart), *[(x, _may_link(similarity)) for x in small]]:
-        met = rows.alias("a").join(rows.alias("b"), (F.col("a.node") == F.col("b.node")) & (F.col("a.c") < F.col("b.c")) & also)
-        pairs = pairs.unionByName(met.select(*_pair()))
-    return pairs.distinct()
+    own = [F.col(x) for x in ("c", "n", "s1", "s2")]
+    first = F.col("far").cast("long") if "far" in nodes.columns else F.xxhash64("c", "node", F.lit(0))
+    picked = nodes.groupBy("node").agg(F.array(*[F.min(F.struct((first if p == 0 else F.xxhash64("c", "node", F.lit(p))).alias("h"), *own)) for p in range(pivots)]).alias("p"))
+    picked = picked.select(F.col("node").alias("pivot_node"), F.explode("p").alias("b")).select("pivot_node", "b.*")
+    met = nodes.alias("a").join(picked.alias("b"), (F.col("a.node") == F.col("b.pivot_node")) & (F.col("a.c") != F.col("b.c")) & _may_link(least))
+    return met.select(F.col("a.c").alias("u"), F.struct(_apart().alias("apart"), F.col("b.c").alias("v")).alias("x")).groupBy("u").agg(F.min("x").alias("x")).select("u", "x.v")
+
+
+def candidates(small: DataFrame, large: DataFrame, least: float) -> DataFrame:
+    """u > v, apart: the pairs of classes that share a node, aren't tied (have another root) and whose sketches are near."""
+    apart = (F.col("a.root") != F.col("b.root")) & _may_link(least)
+    pairs = small.alias("a").join(small.alias("b"), (F.col("a.node") == F.col("b.node")) & (F.col("a.c") < F.col("b.c")) & apart).select(*_pair())
+    # Of two classes of a large node that aren't tied, one at least isn't tied to most of the node: it goes to all blocks of the node.
+    roots = large.groupBy("node", "root").agg(F.count("*").alias("m")).groupBy("node").agg(F.max_by("root", F.struct("m", "root")).alias("most"))
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    placed = large.withColumn("block", F.pmod(F.xxhash64("c"), blocks).cast("int"))
+    free = large.join(roots, "node").where("root <> most").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    crowded = free.alias("a").join(placed.alias("b"), (F.col("a.node") == F.col("b.node")) & (F.col("a.block") == F.col("b.block")) & apart).select(*_pair())
+    return pairs.unionByName(crowded).distinct()
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -153,7 +199,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return same.where(F.lit(100) * F.col("both") >= F.lit(percent) * (F.col("sum") - F.col("both"))).select("u", "v")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int = 14, leaf: int = 12, levels: int = 6, pivots: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int = 14, leaf: int = 12, levels: int = 6, pivots: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row: id, text_hash, n_shingles, component_id, kept, copies.
 
     Two texts are linked if 100 * shared shingles >= percent * all their shingles; component_id is the smallest id
@@ -164,39 +210,41 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int =
     """
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    signed = texts.mapInArrow(_signatures(k), f"id {kind}, text_hash long, n long, c long, mh array<int>, s1 long, s2 long")
-    signed = written(signed, "signatures")
-    classes = signed.where("c is not null").groupBy("c").agg(F.min("id").alias("least"), F.min("n").alias("n"), F.min("s1").alias("s1"), F.min("s2").alias("s2"), F.min("text_hash").alias("text_hash"), F.min("mh").alias("mh"))
-    classes = written(classes, "classes")
-
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        needed = pairs.select(F.explode(F.array("u", "v")).alias("c")).distinct().join(classes.select("c", "text_hash"), "c")
-        own = texts.select("text", "text_hash").join(small_enough(needed, BROADCAST_ROWS), "text_hash").select("c", "text")
+    signed = texts.mapInArrow(_signatures(k), f"id {kind}, text_hash long, n long, c long, c2 long, mh array<int>, s1 long, s2 long")
+    signed, classes = told_apart(written(signed, "signatures"))
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """The sets of the classes c, each by one of its texts."""
+        needed = small_enough(written(wanted.distinct().join(classes.select("c", F.col("rep.id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash")), "c"), "needed"))
+        own = texts.join(needed, texts["id"].eqNullSafe(needed["rep_id"]) & (texts["text_hash"] == needed["rep_hash"])).select("c", "text")
         return written(own.mapInArrow(_sets(k), "c long, shingles array<long>").dropDuplicates(["c"]), "sets")
 
-    small, large = branched(classes, trees, leaf, levels)
-    # In each large node of the first trees, a class and its nearest pivot.
-    early = to_pivots(large.where(F.col("tree") < EARLY_TREES), pivots, (F.col("a.c") != F.col("b.c")) & _may_link(percent / 100))
-    early = early.groupBy(F.col("a.c").alias("u")).agg(F.min(F.struct(_apart().alias("apart"), F.col("b.c").alias("v"))).alias("x")).select("u", "x.v")
-    early = written(early, "early")
-    early = components(_confirmed(early, sets_of(early), percent))
-    large = large.join(early.select(F.col("u").alias("c"), F.col("v").alias("root")), "c", "left").withColumn("root", F.coalesce("root", "c"))
-    pairs = written(candidates(small, written(large, "large"), percent / 100, leaf, pivots), "pairs")
-    sets = sets_of(pairs)
+    both = lambda pairs: pairs.select(F.explode(F.array("u", "v")).alias("c"))
+    small, large, nodes = branched(classes, trees, leaf, levels)
+    # In each node, a class and its nearest pivot.
+    early = to_pivots(small, 1, percent / 100).unionByName(to_pivots(with_centres(large), pivots, percent / 100))
+    early = written(early.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "early")
+    known = sets_of(both(early))
+    tied = components(_confirmed(early, known, percent))
+    roots = small_enough(tied.select(F.col("u").alias("c"), F.col("v").alias("root")))
+    rooted = lambda nodes: nodes.join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
+    pairs = written(candidates(rooted(small), written(rooted(large), "large"), percent / 100), "pairs")
+    sets = known.unionByName(sets_of(both(pairs).join(known.select("c"), "c", "left_anti")))
     # First, for each class, its nearest pair upwards: most of the other pairs are then within a component and need no look.
     nearest = pairs.groupBy("u").agg(F.min(F.struct("apart", "v")).alias("x")).select("u", "x.v")
-    joined = components(_confirmed(nearest, sets, percent).unionByName(early))
+    joined = components(_confirmed(nearest, sets, percent).unionByName(tied))
     rest = pairs.join(joined.select("u", F.col("v").alias("u_root")), "u", "left").withColumn("u_root", F.coalesce("u_root", "u"))
     rest = rest.join(joined.select(F.col("u").alias("v"), F.col("v").alias("v_root")), "v", "left").withColumn("v_root", F.coalesce("v_root", "v"))
     rest = written(rest.where("u_root <> v_root").select("u", "v", "u_root", "v_root"), "rest")
     # What links of the others tie together are components, so their graph is small.
-    tied = components(_confirmed(rest, sets, percent).join(rest, ["u", "v"]).select(F.col("u_root").alias("u"), F.col("v_root").alias("v")).distinct())
-    both = joined.join(tied.select(F.col("u").alias("v"), F.col("v").alias("top")), "v", "left").select("u", F.coalesce("top", "v").alias("v"))
-    roots = both.unionByName(tied).dropDuplicates(["u"])
-
-    rooted = classes.select("c", "least").join(roots.select(F.col("u").alias("c"), F.col("v").alias("root")), "c", "left").withColumn("root", F.coalesce("root", "c"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_class = written(rooted.join(least, "root").select("c", "component_id"), "components")
+    more = components(_confirmed(rest, sets, percent).join(rest, ["u", "v"]).select(F.col("u_root").alias("u"), F.col("v_root").alias("v")).distinct())
+    tops = joined.join(more.select(F.col("u").alias("v"), F.col("v").alias("top")), "v", "left").select("u", F.coalesce("top", "v").alias("v"))
+    roots = tops.unionByName(more).dropDuplicates(["u"])
+
+    rooted_classes = classes.select("c", "least").join(roots.select(F.col("u").alias("c"), F.col("v").alias("root")), "c", "left").withColumn("root", F.coalesce("root", "c"))
+    least = rooted_classes.groupBy("root").agg(F.min("least").alias("component_id"))
+    of_class = written(rooted_classes.join(least, "root").select("c", "component_id"), "components")
+    deleted(classes, *nodes, early, known, tied, pairs, joined, rest, more)
     copies = signed.groupBy("id", "text_hash").agg(F.count("*").alias("copies")).where("copies > 1")
     out = signed.select("id", "text_hash", F.col("n").alias("n_shingles"), "c").join(of_class, "c", "left")
     out = out.withColumn("component_id", F.when(F.col("c").isNull(), F.col("id")).otherwise(F.col("component_id")))

@@ -36,3 +36,13 @@ def test_stages(spark, folder):
     packed = P.run(spark, folder).collect()
     assert {r.doc_id for r in packed} == clean | {302}
     assert table(spark, []).count() == 0
+
+
+def test_empty_table_and_repeated_rows(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    twice = docs.where("doc_id in (1, 2, 304)").unionByName(docs.where("doc_id in (1, 304)"))
+    for name, stage in P.STAGES:
+        assert stage(spark, docs.limit(0), folder).count() == 0, name
+        left = sorted(r.doc_id for r in stage(spark, twice, folder).select("doc_id").collect())
+        # Of equal texts one stays, of rows without any text all do.
+        assert left == ([1, 2, 304, 304] if name == "near_dedup" else [1, 1, 2, 304, 304]), name
