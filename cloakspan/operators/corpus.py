@@ -93,15 +93,16 @@ def tokens(docs: DataFrame, pattern: str = r"(?U)\S+", id_col: str = "doc_id", t
 def bio_tags(toks: DataFrame, entities: DataFrame, max_length: int = 512, known: tuple[str, ...] | None = BIO_TAGS) -> DataFrame:
     """doc_id, tok_idx, cs, ce, token, tag: overlap join of tokens and entities (doc_id, ent, start, end, label); a later entity wins; null: none.
 
-    Tokens from max_length on are cut off. Tags that aren't known ones (None: all are) count as none.
+    Tokens from max_length on are cut off. Tags that aren't known ones (None: all are) count as none. The joins shuffle:
+    tokens are made from a few bytes each, so the planner would take them for small and send them all to the driver.
     """
     toks = toks.where(F.col("tok_idx") < max_length)
-    hit = toks.alias("t").join(entities.alias("e"), (F.col("t.doc_id") == F.col("e.doc_id")) & (F.col("t.cs") < F.col("e.end")) & (F.col("t.ce") > F.col("e.start")))
+    hit = toks.alias("t").join(entities.alias("e").hint("merge"), (F.col("t.doc_id") == F.col("e.doc_id")) & (F.col("t.cs") < F.col("e.end")) & (F.col("t.ce") > F.col("e.start")))
     hit = hit.select("t.doc_id", "t.tok_idx", "e.ent", "e.label", F.row_number().over(Window.partitionBy("t.doc_id", "e.ent").orderBy("t.tok_idx")).alias("nth"))
     tagged = hit.groupBy("doc_id", "tok_idx").agg(F.max_by(F.concat(F.when(F.col("nth") == 1, "B-").otherwise("I-"), F.col("label")), "ent").alias("tag"))
     if known:
         tagged = tagged.withColumn("tag", F.when(F.col("tag").isin(*known), F.col("tag")))
-    return toks.join(tagged, ["doc_id", "tok_idx"], "left")
+    return toks.join(tagged.hint("merge"), ["doc_id", "tok_idx"], "left")
 
 
 def contract(toks: DataFrame, entities: DataFrame) -> DataFrame:

@@ -123,3 +123,19 @@ def test_json_lines(spark, tmp_path):
     T.write_jsonl(rows, f"{tmp_path}/out", "split")
     assert {(r.text, r.split) for r in spark.read.json(f"{tmp_path}/out").collect()} == {("ё", "dev"), ("b", "train")}
     assert "ё" in "".join(p.read_text() for p in (tmp_path / "out" / "split=dev").glob("*.json"))
+
+
+def _short_and_entities(spark):
+    """Documents made from a few bytes each, which the planner takes for small, and an entity in each."""
+    docs = spark.range(4).select(F.col("id").alias("doc_id"), F.lit("ab cd ef").alias("text"))
+    return C.tokens(docs), docs.select("doc_id", F.lit(0).alias("ent"), F.lit(3).alias("start"), F.lit(8).alias("end"), F.lit("PER").alias("label"))
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tags_are_not_broadcast(spark):
+    tags = C.bio_tags(*_short_and_entities(spark), known=None)
+    assert "Broadcast" not in _plan(tags)
+    assert sorted((r.doc_id, r.tok_idx, r.tag) for r in tags.collect()) == [(i, k, t) for i in range(4) for k, t in enumerate((None, "B-PER", "I-PER"))]
