@@ -106,8 +106,8 @@ def bio_tags(toks: DataFrame, entities: DataFrame, max_length: int = 512, known:
 
 
 def contract(toks: DataFrame, entities: DataFrame) -> DataFrame:
-    """doc_id, ent, label, start, end: the tokens that lie within each entity; entities without any are gone."""
-    inside = toks.alias("t").join(entities.alias("e"), (F.col("t.doc_id") == F.col("e.doc_id")) & (F.col("t.cs") >= F.col("e.start")) & (F.col("t.ce") <= F.col("e.end")))
+    """doc_id, ent, label, start, end: the tokens that lie within each entity; entities without any are gone. The join shuffles, as in bio_tags."""
+    inside = toks.alias("t").join(entities.alias("e").hint("merge"), (F.col("t.doc_id") == F.col("e.doc_id")) & (F.col("t.cs") >= F.col("e.start")) & (F.col("t.ce") <= F.col("e.end")))
     return inside.groupBy("e.doc_id", "e.ent", "e.label").agg(F.min("t.cs").alias("start"), F.max("t.ce").alias("end"))
 
 

@@ -139,3 +139,9 @@ def test_tags_are_not_broadcast(spark):
     tags = C.bio_tags(*_short_and_entities(spark), known=None)
     assert "Broadcast" not in _plan(tags)
     assert sorted((r.doc_id, r.tok_idx, r.tag) for r in tags.collect()) == [(i, k, t) for i in range(4) for k, t in enumerate((None, "B-PER", "I-PER"))]
+
+
+def test_contract_is_not_broadcast(spark):
+    found = C.contract(*_short_and_entities(spark))
+    assert "Broadcast" not in _plan(found)
+    assert sorted((r.doc_id, r.start, r.end) for r in found.collect()) == [(i, 3, 8) for i in range(4)]
