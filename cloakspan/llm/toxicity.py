@@ -9,8 +9,9 @@ the difference of their weights and the swapped copies needn't be made; the scor
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -76,8 +77,8 @@ def _swaps(words: list[str]) -> list[tuple[str, str]]:
     return [(t, o) for t in words if t in TERMS for o in IDENTITY_TERMS[TERMS[t]] if o != t]
 
 
-def fit(rows: list[tuple[set[str], int]], fair: float = 50.0, l1: float = 2e-4, steps: int = 800, least: float = 1.5, weigh: tuple[float, float] = (1.0, 1.0)) -> ToxicityModel:
-    """rows: the words and the label of each text. fair: the weight of the squared score changes under swaps.
+def fit(rows: list[tuple[Collection[str], int]], fair: float = 50.0, l1: float = 2e-4, steps: int = 800, least: float = 1.5, weigh: tuple[float, float] = (1.0, 1.0)) -> ToxicityModel:
+    """rows: the distinct words and the label of each text. fair: the weight of the squared score changes under swaps.
 
     The L1 penalty is l1, or as much as `least` texts weigh if that is more. Words that speak for toxicity are taken,
     and identity terms whatever they speak for. weigh: how many labelled texts a row of class 0 and one of class 1
@@ -99,17 +100,20 @@ def fit(rows: list[tuple[set[str], int]], fair: float = 50.0, l1: float = 2e-4,
     strong = sorted((w for w in seen if odds[w] > 2), key=lambda w: (-odds[w], w))[:FEATURES]
     chosen = sorted({*strong, *(t for t in TERMS if t in odds)})
     at = {w: k for k, w in enumerate(chosen)}
-    x, y = np.zeros((len(rows), len(chosen)), np.float32), np.array([y for _, y in rows], np.float32)
+    y = np.array([y for _, y in rows], float)
     counted = np.where(y > 0, weigh[1], weigh[0])
     counted = counted / counted.mean()
-    swaps: Counter = Counter()
+    # The rows' words as numbers, one after the other, and the row of each: a text has few of the words.
+    met, has, swaps = array("i"), np.zeros(len(rows), np.int64), Counter()
     for r, (words, _) in enumerate(rows):
-        own = [w for w in words if w in at]
-        x[r, [at[w] for w in own]] = 1
+        own = sorted(w for w in words if w in at)
+        met.extend(at[w] for w in own)
+        has[r] = len(own)
         for t, o in _swaps(own):
             swaps[at[t], at.get(o, -1)] += counted[r]
+    column, row = np.frombuffer(met, np.int32) if met else np.zeros(0, np.int32), np.repeat(np.arange(len(rows), dtype=np.int32), has)
     # The penalty is a graph of terms; its step is taken exactly. A term that isn't in the sample weighs 0.
-    rate = 4.0 / (1 + float(((x**2).sum(1) * counted).mean()))
+    rate = 4.0 / (1 + float((has * counted).mean()))
     terms = sorted({a for a, _ in swaps})
     spot = {a: k for k, a in enumerate(terms)}
     pull = np.eye(len(terms))
@@ -122,8 +126,8 @@ def fit(rows: list[tuple[set[str], int]], fair: float = 50.0, l1: float = 2e-4,
             pull[spot[b], spot[a]] -= share
     w, v, bias, momentum = np.zeros(len(chosen)), np.zeros(len(chosen)), float(np.log(n1 * weigh[1] / (n0 * weigh[0]))), 1.0
     for _ in range(steps):  # proximal gradient with momentum
-        p = 1 / (1 + np.exp(-np.clip(x @ v.astype(np.float32) + bias, -30, 30)))
-        moved = v - rate * (x.T @ (counted * (p - y))) / len(rows)
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, v[column], len(rows)) + bias, -30, 30)))
+        moved = v - rate * np.bincount(column, (counted * (p - y))[row], len(chosen)) / len(rows)
         moved[terms] = np.linalg.solve(pull, moved[terms])
         new = np.sign(moved) * np.maximum(np.abs(moved) - rate * l1, 0)
         bias -= rate * float((counted * (p - y)).mean())
@@ -149,15 +153,19 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col
     met = rows.select(F.explode_outer("words").alias("w"), "y").where("w is not null").groupBy("w").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("o")).where("t + o >= 5")
     odds = (F.log((F.col("t") + 0.5) / (n1 + 1)) - F.log((F.col("o") + 0.5) / (n0 + 1))) / F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("o") + 0.5))
     strong = [r.w for r in met.select("w", odds.alias("odds")).where("odds > 2").orderBy(F.desc("odds"), "w").limit(FEATURES).collect()]
-    known = {*strong, *TERMS}
+    names = sorted({*strong, *TERMS})
+    number = {w: k for k, w in enumerate(names)}
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([sorted(words_of(t) & known) for t in batch.column(0).to_pylist()], pa.list_(pa.string())), batch.column(1)], ["words", "y"])
+            own = [sorted(number[w] for w in words_of(t) & number.keys()) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.int32())), batch.column(1)], ["words", "y"])
 
     # A class that is sampled counts for all of its rows.
     weigh = tuple(max(1.0, counts.get(k, 0) / per_class) for k in (0, 1))
-    model = fit([(set(r.words), int(r.y)) for r in sample.mapInArrow(keep, kind).collect()], weigh=weigh)
+    # The driver gets numbers, and its rows share the names: a string for each word of each row would be most of its memory.
+    got = sample.mapInArrow(keep, kind.replace("string", "int")).toArrow()
+    model = fit([([names[k] for k in words.as_py()], int(y.as_py())) for words, y in zip(got["words"], got["y"], strict=True)], weigh=weigh)
     deleted(sample)
     return model
 

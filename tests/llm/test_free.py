@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -353,3 +354,16 @@ def test_quality(spark):
     assert out[900].score == out[901].score
     assert all(zlib.crc32(str(i).encode()) % 4 == 2 for i in held)
     assert Q.quality(table(spark, []), marks.limit(0)).count() == 0
+
+
+def test_toxicity_is_fitted_in_little_memory():
+    """Texts have few of the model's words, and a table of all texts by all words would hold mostly zeros."""
+    rng = random.Random(6)
+    rows = [(set(rng.sample(range(400), 10)), i % 4 == 0) for i in range(8_000)]
+    rows = [({f"{'t' if y and k % 2 else 'w'}{k}" for k in own}, int(y)) for own, y in rows]
+    tracemalloc.start()
+    model = X.fit(rows, steps=50)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert model.weights
+    assert peak < 8_000 * 200 * 4, peak
