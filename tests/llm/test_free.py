@@ -367,3 +367,23 @@ def test_toxicity_is_fitted_in_little_memory():
     tracemalloc.stop()
     assert model.weights
     assert peak < 8_000 * 200 * 4, peak
+
+
+@pytest.mark.parametrize("better", [12_000, 37_000])
+def test_quality_learns_from_all_rows(spark, better):
+    """40,000 labelled texts, of which a sample of 8,000 a class would leave most out: each is in a block, and in a pair there."""
+    size = len(Q.features(""))
+    rows = spark.range(40_000).selectExpr("md5(string(id)) AS t", f"int(id < {better}) AS y", f"transform(sequence(1, {size}), k -> double(id * k % 1000)) AS x")
+    edges = Q._edges(rows)
+    exact = np.quantile(np.arange(40_000) % 1000, np.linspace(0, 1, Q.BINS + 1)[1:-1])
+    assert np.allclose(edges[0], exact, rtol=0.01, atol=2)
+    blocks = list(Q._opened(Q._blocks(rows, edges, {1: better, 0: 40_000 - better}).toArrow().to_batches()))
+    n = [(int((y == 1).sum()), int((y == 0).sum())) for _, y, _ in blocks]
+    scarce = 40_000 - better <= Q.BLOCK // 2
+    assert len(n) == 2
+    assert sum(a for a, _ in n) == better
+    assert sum(b for _, b in n) == (40_000 - better) * (2 if scarce else 1)
+    for block, y, x in blocks:
+        pairs, _, grad = Q._slope(y, x, np.zeros(size * Q.BINS), block)
+        assert pairs == Q.TURNS * max(sum(y == 0), sum(y == 1))
+        assert grad.any()
