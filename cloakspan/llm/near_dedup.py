@@ -5,7 +5,8 @@ the classes are branched by the least value that a chosen minwise hash gives the
 of the tokens chosen at each node. Nodes that are still large choose again (one coordinate, sometimes two, so that a
 similar pair is expected to stay together along one path a level); the pairs of small nodes are compared exhaustively,
 on a 2-bit minwise sketch, and those that may be similar enough are confirmed on the full sets. Nodes that stay large
-to the last level hold near copies of a text: each class that isn't tied to most others there is compared with all.
+to the last level hold near copies of a text. A class that isn't tied to most others there meets those with which it
+shares enough of what tells it from a class amid them, found by what the others have beyond that class.
 
 Before that, each class is compared with a pivot or two of its nodes, that which is nearest to a sample of the node among
 them, and the nearest is confirmed: copies of a text are tied by as many pairs as there are copies, though they may not
@@ -112,8 +113,8 @@ def _pair() -> list[Column]:
 
 #: So many classes of a large node show how near to the others a class is.
 SHOWN = 16
-#: Classes of a large node that a task compares with others at once.
-BLOCK = 512
+#: So many sets are broadcast at most; beyond it the same join shuffles.
+FEW_SETS = 256
 
 
 def told_apart(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -179,17 +180,57 @@ def to_pivots(nodes: DataFrame, pivots: int, least: float) -> DataFrame:
     return met.select(F.col("a.c").alias("u"), F.struct(_apart().alias("apart"), F.col("b.c").alias("v")).alias("x")).groupBy("u").agg(F.min("x").alias("x")).select("u", "x.v")
 
 
-def candidates(small: DataFrame, large: DataFrame, least: float) -> DataFrame:
-    """u > v, apart: the pairs of classes that share a node, aren't tied (have another root) and whose sketches are near."""
+def in_small_nodes(small: DataFrame, least: float) -> DataFrame:
+    """u > v, apart: the pairs of classes that share a small node, aren't tied (have another root) and whose sketches are near."""
     apart = (F.col("a.root") != F.col("b.root")) & _may_link(least)
-    pairs = small.alias("a").join(small.alias("b"), (F.col("a.node") == F.col("b.node")) & (F.col("a.c") < F.col("b.c")) & apart).select(*_pair())
-    # Of two classes of a large node that aren't tied, one at least isn't tied to most of the node: it goes to all blocks of the node.
-    roots = large.groupBy("node", "root").agg(F.count("*").alias("m")).groupBy("node").agg(F.max_by("root", F.struct("m", "root")).alias("most"))
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    placed = large.withColumn("block", F.pmod(F.xxhash64("c"), blocks).cast("int"))
-    free = large.join(roots, "node").where("root <> most").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    crowded = free.alias("a").join(placed.alias("b"), (F.col("a.node") == F.col("b.node")) & (F.col("a.block") == F.col("b.block")) & apart).select(*_pair())
-    return pairs.unionByName(crowded).distinct()
+    return small.alias("a").join(small.alias("b"), (F.col("a.node") == F.col("b.node")) & (F.col("a.c") < F.col("b.c")) & apart).select(*_pair())
+
+
+def crowds(large: DataFrame) -> DataFrame:
+    """g, c, n, s1, s2, root: the classes of large nodes by g, the root that most of a node have."""
+    most = large.groupBy("node", "root").agg(F.count("*").alias("m")).groupBy("node").agg(F.max_by("root", F.struct("m", "root")).alias("g"))
+    return large.join(most, "node").groupBy("g", "c").agg(*[F.min(x).alias(x) for x in ("n", "s1", "s2", "root")])
+
+
+def set_apart(members: DataFrame) -> DataFrame:
+    """members (of crowds(), with their shingles) with p, n_p and differs: the shingles that a class has and p hasn't, or p has and it hasn't.
+
+    p is a class of root g: that which is nearest to what most of SHOWN classes of the crowd have, if copies of a text
+    their original. What few others differ in comes first.
+    """
+    at = F.pmod(F.xxhash64("c"), F.lit(SHOWN)).alias("at")
+    shown = members.groupBy("g", at).agg(F.min_by("shingles", F.xxhash64("c", F.lit(1))).alias("shingles"))
+    half = shown.groupBy("g").agg((F.count("*") / 2).alias("half"))
+    usual = shown.select("g", F.explode("shingles").alias("e")).groupBy("g", "e").agg(F.count("*").alias("k")).join(half, "g").where("k >= half").groupBy("g").agg(F.collect_list("e").alias("usual"))
+    usual = small_enough(written(usual, "usual"), FEW_SETS)
+    far = F.size(F.array_except("shingles", "usual")) + F.size(F.array_except("usual", "shingles"))
+    none = F.array().cast("array<long>")
+    centred = members.where("root = g").join(usual, "g", "left").withColumn("usual", F.coalesce("usual", none))
+    amid = centred.select("g", "c", far.alias("far")).groupBy("g").agg(F.min(F.struct("far", "c")).alias("x")).select("g", F.col("x.c").alias("c"))
+    amid = centred.join(small_enough(written(amid, "amid"), FEW_SETS), ["g", "c"], "left_semi").select("g", F.col("c").alias("p"), F.col("shingles").alias("of_p"), "usual")
+    both = members.join(small_enough(written(amid, "amid-sets"), FEW_SETS), "g").withColumn("extra", F.array_except("shingles", "of_p"))
+    differs = F.concat(F.array_except("extra", "usual"), F.array_except("of_p", "shingles"), F.array_intersect("extra", "usual"))
+    return both.select("g", "p", "c", "n", "s1", "s2", "root", F.size("of_p").cast("long").alias("n_p"), differs.alias("differs"))
+
+
+def in_crowds(apart: DataFrame, percent: int) -> DataFrame:
+    """u > v, apart: pairs of classes of a crowd that aren't tied, among them all that are linked and have near sketches. apart: of set_apart().
+
+    Say D is what a class differs in from p, and r is (100 - percent) / (100 + percent): classes i and j are linked if
+    |D_i| + |D_j| - 2 |D_i and D_j| <= r (n_i + n_j). A class i that isn't linked to p has |D_i| > r (n_i + n_p), so it
+    shares more than s = (|D_j| + r (n_p - n_j)) / 2 with each j that it is linked to: D_i meets any |D_j| - floor(s) of
+    D_j. Of two classes that aren't tied one at least isn't tied to p; it is linked to p, which ties it, or is such an i.
+    """
+    sized = apart.withColumn("d", F.size("differs").cast("long"))
+    own = ["g", "c", "n", "s1", "s2", "root"]
+    loose, to_p = F.col("root") != F.col("g"), F.col("d") * (100 + percent) <= (100 - percent) * (F.col("n") + F.col("n_p"))
+    free = sized.where(loose & ~to_p).select(*own, F.explode("differs").alias("e"))
+    floor = F.expr(f"(d * {100 + percent} + {100 - percent} * (n_p - n)) div {2 * (100 + percent)}")
+    met = sized.select(*own, F.explode(F.slice("differs", F.lit(1), (F.col("d") - floor).cast("int"))).alias("e"))
+    near = (F.col("a.g") == F.col("b.g")) & (F.col("a.e") == F.col("b.e")) & (F.col("a.root") != F.col("b.root")) & _may_link(percent / 100)
+    pairs = free.alias("a").join(met.alias("b"), near).select(*_pair())
+    tied = sized.where(loose & to_p).select(F.greatest("c", "p").alias("u"), F.least("c", "p").alias("v"), F.lit(0).cast("int").alias("apart"))
+    return pairs.unionByName(tied)
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -222,14 +263,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int =
     both = lambda pairs: pairs.select(F.explode(F.array("u", "v")).alias("c"))
     small, large, nodes = branched(classes, trees, leaf, levels)
     # In each node, a class and its nearest pivot.
-    early = to_pivots(small, 1, percent / 100).unionByName(to_pivots(with_centres(large), pivots, percent / 100))
+    centred = written(with_centres(large), "centred")
+    early = to_pivots(small, 1, percent / 100).unionByName(to_pivots(centred, pivots, percent / 100))
     early = written(early.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "early")
     known = sets_of(both(early))
     tied = components(_confirmed(early, known, percent))
     roots = small_enough(tied.select(F.col("u").alias("c"), F.col("v").alias("root")))
     rooted = lambda nodes: nodes.join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
-    pairs = written(candidates(rooted(small), written(rooted(large), "large"), percent / 100), "pairs")
-    sets = known.unionByName(sets_of(both(pairs).join(known.select("c"), "c", "left_anti")))
+    missing = lambda found, sets: sets_of(found.join(sets.select("c"), "c", "left_anti"))
+    members = written(crowds(rooted(centred)), "members")
+    more_sets = missing(members.select("c"), known)
+    sets = known.unionByName(more_sets)
+    full = written(members.join(sets, "c"), "member-sets")
+    apart = written(set_apart(full), "apart")
+    pairs = written(in_small_nodes(rooted(small), percent / 100).unionByName(in_crowds(apart, percent)).distinct(), "pairs")
+    last_sets = missing(both(pairs), sets)
+    sets = sets.unionByName(last_sets)
     # First, for each class, its nearest pair upwards: most of the other pairs are then within a component and need no look.
     nearest = pairs.groupBy("u").agg(F.min(F.struct("apart", "v")).alias("x")).select("u", "x.v")
     joined = components(_confirmed(nearest, sets, percent).unionByName(tied))
@@ -244,7 +293,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int =
     rooted_classes = classes.select("c", "least").join(roots.select(F.col("u").alias("c"), F.col("v").alias("root")), "c", "left").withColumn("root", F.coalesce("root", "c"))
     least = rooted_classes.groupBy("root").agg(F.min("least").alias("component_id"))
     of_class = written(rooted_classes.join(least, "root").select("c", "component_id"), "components")
-    deleted(classes, *nodes, early, known, tied, pairs, joined, rest, more)
+    deleted(classes, *nodes, centred, early, known, tied, members, more_sets, full, apart, pairs, last_sets, joined, rest, more)
     copies = signed.groupBy("id", "text_hash").agg(F.count("*").alias("copies")).where("copies > 1")
     out = signed.select("id", "text_hash", F.col("n").alias("n_shingles"), "c").join(of_class, "c", "left")
     out = out.withColumn("component_id", F.when(F.col("c").isNull(), F.col("id")).otherwise(F.col("component_id")))

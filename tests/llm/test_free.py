@@ -2,6 +2,7 @@ import hashlib
 import random
 import tracemalloc
 import zlib
+from itertools import combinations
 
 import numpy as np
 import public_tokenizers
@@ -387,3 +388,40 @@ def test_quality_learns_from_all_rows(spark, better):
         pairs, _, grad = Q._slope(y, x, np.zeros(size * Q.BINS), block)
         assert pairs == Q.TURNS * max(sum(y == 0), sum(y == 1))
         assert grad.any()
+
+
+def test_crowd_of_copies_makes_few_pairs(spark, monkeypatch):
+    """Copies of a text that are similar enough to it or just not, and mostly not to each other."""
+    rng, base = random.Random(8), words(60, 77)
+    docs = [(0, " ".join(base))]
+    for k in range(1, 320):
+        own = list(base)
+        for at in rng.sample(range(60), rng.choice((2, 3, 4, 4, 5))):
+            own[at] = f"x{k}y{at}"
+        docs.append((k, " ".join(own)))
+    # Two that are tied to each other only, and one that is tied by a copy that itself is tied to the text.
+    far = docs[300][1].split()
+    far[10:14] = ["p", "q", "r", "s"]
+    docs += [(400, " ".join(far)), (401, " ".join(far[:59]))]
+    counts, real = {}, N.written
+
+    def counted(df, name):
+        out = real(df, name)
+        counts[name] = counts.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(N, "written", counted)
+    found = {r.doc_id: r.component_id for r in N.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), k=2).collect()}
+    sets = {i: set(zip(t.split(), t.split()[1:])) for i, t in docs}
+    root = {i: i for i, _ in docs}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for (i, a), (j, b) in combinations(sets.items(), 2):
+        if 100 * len(a & b) >= 80 * len(a | b):
+            root[max(top(i), top(j))] = min(top(i), top(j))
+    assert found == {i: top(i) for i in root}
+    assert counts["pairs"] < 20 * len(docs)
