@@ -44,10 +44,11 @@ def _begin(i: str, size: str, length: str, parts: int) -> str:
     return f"IF({i} < {(parts + 1) // 2}, {size} * {i}, {length} - {size} * ({parts} - {i}))"
 
 
-def _one_segment_keys(line: str, length: str, edits: int) -> Column:
-    """Keys of single segments, of which two lines within `edits` edits share one that is the own one of either."""
+def _one_segment_keys(line: str, length: str, edits: int, sizes: list[str] | None = None) -> Column:
+    """Keys of single segments, of which two lines within `edits` edits share one that is the own one of either. sizes: columns of _sizes(), if there are some."""
     parts, keys = edits + 1, []
-    for n, size in enumerate(sizes := _sizes(length, edits, parts)):
+    sizes = sizes or _sizes(length, edits, parts)
+    for n, size in enumerate(sizes):
         for i, d in _moves(edits):
             begin = f"({_begin(str(i), size, length, parts)} + {d})"
             other = f"{size} <> {sizes[0]} AND " if n else ""
@@ -91,10 +92,17 @@ def _chars(line: str, body: str) -> Column:
 
 
 def _signature(line: str) -> Column:
-    """s1, s2: for each of 128 classes of two running characters, whether their number is odd. An edit changes four of them at most."""
+    """s1, s2: for each of 128 classes of two running characters, whether their number is odd; s3: for each of 32 classes of characters, their number.
+
+    An edit changes four of the first at most. Numbers of s3 are taken modulo 4 and written in Gray code, so that one more
+    or one less changes one bit: an edit changes two bits at most.
+    """
     bits = "transform(sequence(0, greatest(0, size(c) - 2)), i -> CAST(pmod(xxhash64(get(c, i), get(c, i + 1)), 128) AS int))"
     odd = lambda low: f"aggregate(b, 0L, (acc, x) -> acc ^ IF(x BETWEEN {low} AND {low + 63}, shiftleft(1L, x - {low}), 0L))"
-    return _chars(line, f"element_at(transform(array({bits}), b -> named_struct('s1', {odd(0)}, 's2', {odd(64)})), 1)")
+    # Two bits a class, counted up without a carry into the next class.
+    bit = "shiftleft(1L, 2 * CAST(ascii(x) & 31 AS int))"
+    counted = f"aggregate(c, 0L, (acc, x) -> acc ^ {bit} ^ shiftleft(acc & {bit}, 1), acc -> acc ^ (shiftrightunsigned(acc, 1) & {0x5555555555555555}L))"
+    return _chars(line, f"element_at(transform(array({bits}), b -> named_struct('s1', {odd(0)}, 's2', {odd(64)}, 's3', {counted})), 1)")
 
 
 def _apart(a: str, b: str) -> Column:
@@ -103,7 +111,8 @@ def _apart(a: str, b: str) -> Column:
 
 def _may_be_near(a: str, b: str, edits: int) -> Column:
     """Whether line a comes before b and may be within the edits; what it denies is not."""
-    return (F.col(f"{a}.first") < F.col(f"{b}.first")) & (F.abs(F.col(f"{a}.length") - F.col(f"{b}.length")) <= edits) & (_apart(a, b) <= 4 * edits)
+    letters = F.bit_count(F.col(f"{a}.s3").bitwiseXOR(F.col(f"{b}.s3")))
+    return (F.col(f"{a}.first") < F.col(f"{b}.first")) & (F.abs(F.col(f"{a}.length") - F.col(f"{b}.length")) <= edits) & (letters <= 2 * edits) & (_apart(a, b) <= 4 * edits)
 
 
 def _near_pair() -> list[Column]:
@@ -141,8 +150,10 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = 20, id_
     first = F.min(F.struct("key", "text_hash", "at")).alias("first")
     long = F.char_length("line") >= min_chars
     # The segments of all lines come first, few keys a line; only lines that share a segment with another line are read again.
-    keys = F.when(F.col("length") >= min_chars, _one_segment_keys("line", "length", edits)).alias("keys")
-    each = placed.withColumn("length", F.char_length("line")).select("key", "text_hash", "at", *hashed, keys)
+    keys = F.when(F.col("length") >= min_chars, _one_segment_keys("line", "length", edits, ["z0", "z1", "z2"])).alias("keys")
+    # The sizes are columns of their own, since each key uses them several times.
+    sized = placed.withColumn("length", F.char_length("line")).withColumns({f"z{n}": F.expr(x) for n, x in enumerate(_sizes("length", edits, edits + 1))})
+    each = sized.select("key", "text_hash", "at", *hashed, keys)
     distinct = written(each.groupBy("h1", "h2").agg(first, F.first("keys").alias("keys")), "lines")
     segments = distinct.select("h1", "h2", F.explode("keys").alias("k"))
     shared = written(segments.groupBy("k").agg(F.count("*").alias("n")).where("n > 1"), "segments")
@@ -151,8 +162,10 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = 20, id_
     wanted = placed.where(long).select("key", "text_hash", "at", "line", *hashed).join(suspects, ["h1", "h2"])
     wanted = wanted.groupBy("h1", "h2").agg(F.first("line").alias("line"), first).withColumn("length", F.char_length("line"))
     wanted = written(wanted.withColumn("s", _signature("line")).select("*", "s.*").drop("s"), "wanted")
-    marks = ["h1", "length", "first", "s1", "s2"]
-    keyed = written(kept.join(wanted.select("h2", *marks), ["h1", "h2"]).select("k", "n", F.struct(*marks).alias("b")), "keyed")
+    marks = ["h1", "length", "first", "s1", "s2", "s3"]
+    # ks: those of the line's keys that aren't crowded.
+    of_line = kept.groupBy("h1", "h2").agg(F.collect_list(F.when(F.col("n") <= CROWD, F.col("k"))).alias("ks"))
+    keyed = written(kept.join(wanted.select("h2", *marks), ["h1", "h2"]).join(of_line, ["h1", "h2"]).select("k", "n", F.struct(*marks).alias("b"), "ks"), "keyed")
     deleted(shared, kept)
 
     def measured(pairs: DataFrame) -> DataFrame:
@@ -168,11 +181,13 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = 20, id_
     tied = measured(nearest(keyed.join(leaders, "k").where(_may_be_near("a", "b", edits)).select(*_near_pair())))
     done = small_enough(tied)
     few = keyed.where(F.col("n") <= CROWD)
-    early = few.select(F.col("k").alias("k_"), F.col("b").alias("a"))
-    pairs = early.join(few.join(done, F.col("b.h1") == F.col("late"), "left_anti"), (F.col("k") == F.col("k_")) & _may_be_near("a", "b", edits)).select(*_near_pair())
+    early = few.select(F.col("k").alias("k_"), F.col("b").alias("a"), F.col("ks").alias("ks_"))
+    # Near copies share most of their keys; the pair is made on the least of them only.
+    once = F.array_min(F.array_intersect("ks", "ks_")) == F.col("k")
+    pairs = early.join(few.join(done, F.col("b.h1") == F.col("late"), "left_anti"), (F.col("k") == F.col("k_")) & _may_be_near("a", "b", edits) & once).select(*_near_pair())
 
     # Lines of crowded keys meet on what their leader doesn't have.
-    many = keyed.where(F.col("n") > CROWD).drop("n")
+    many = keyed.where(F.col("n") > CROWD).drop("n", "ks")
     in_crowds = written(many.select(F.col("b.h1").alias("h1")).distinct(), "crowd")
     grams = written(wanted.join(small_enough(in_crowds), "h1", "left_semi").select("h1", _grams("line").alias("gs")), "grams")
     heads = leaders.join(small_enough(many.select("k").distinct()), "k", "left_semi").join(grams, F.col("a.h1") == F.col("h1")).select("k", F.col("gs").alias("leader"))

@@ -282,3 +282,43 @@ def test_crowded_lines_against_brute_force(spark, monkeypatch, crowd):
     for i, line in enumerate(lines):
         near = any(line == p or (min(len(line), len(p)) >= 20 and abs(len(line) - len(p)) <= 3 and distance(line, p) <= 3) for p in lines[:i])
         assert out[i] == ("" if near else line), line
+
+
+def test_lines_with_other_letters_make_no_pairs(spark, monkeypatch):
+    """Lines with four letters put in, each elsewhere: eight edits apart, though few of their runs of two differ."""
+    rng = random.Random(5)
+    base = " ".join("".join(rng.choice("etaoins") for _ in range(5)) for _ in range(40))
+    lines = [base]
+    for k in range(60):
+        at = 3 + 3 * k
+        lines.append(base[:at] + ("bcdf", "gjkp", "qvwx")[k % 3] + base[at:])
+    near = [lines[9][:100] + "u" + lines[9][101:], lines[20][:-3] + "muh"]
+    pairs, real = [], LD.written
+
+    def counted(df, name):
+        out = real(df, name)
+        if name == "line-pairs":
+            pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(LD, "written", counted)
+    out = LD.line_dedup(table(spark, list(enumerate([*lines, *near]))))
+    assert sorted(r.doc_id for r in out.collect() if not r.text) == [61, 62]
+    assert pairs[0] < 60 * 59 // 2 // 2
+
+
+def test_signature_never_denies_edits(spark):
+    rng = random.Random(6)
+    rows = []
+    for k in range(300):
+        a = "".join(rng.choice("abcdeÄß 12Z") for _ in range(rng.randint(20, 60)))
+        b = list(a)
+        for _ in range(3):
+            at = rng.randrange(len(b))
+            b[at : at + rng.randint(0, 1)] = rng.choice(["", "a", "q", "€"])
+        rows.append((k, a, "".join(b)))
+    signed = spark.createDataFrame(rows, "k long, x string, y string").select(
+        *[F.struct(F.struct(F.lit(n).alias("key")).alias("first"), F.char_length(c).alias("length"), LD._signature(c).alias("s")).alias(c) for n, c in enumerate("xy")]
+    )
+    flat = signed.select(*[F.struct(f"{c}.first", f"{c}.length", f"{c}.s.*").alias(c) for c in "xy"])
+    assert flat.where(~LD._may_be_near("x", "y", 3)).count() == 0
