@@ -52,6 +52,21 @@ def cleaned(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
 
 
+#: Spark starts a thread for each exchange until it has so many (1,024 and 128 by default), though others are idle.
+THREADS = {"spark.sql.shuffleExchange.maxThreadThreshold": "16", "spark.sql.broadcastExchange.maxThreadThreshold": "16"}
+
+
+def few_threads(spark: SparkSession) -> None:
+    """Holds the driver's threads for exchanges at a few, unless the caller has set how many; they wait for jobs only, and take memory outside the heap.
+
+    The settings are read when the first exchange of the application is planned; later this does nothing.
+    """
+    own = spark._jsparkSession.sessionState().conf()
+    for key, n in THREADS.items():
+        if not spark.sparkContext.getConf().contains(key):
+            own.setConfString(key, n)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: cuts the lineage and survives lost executors."""
     spark, path = df.sparkSession, new_folder(df.sparkSession, name)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cloakspan.llm import decontaminate, line_dedup, near_dedup, packing, toxicity
 from cloakspan.llm.queries import tokenizer_path
-from cloakspan.llm.shared import written
+from cloakspan.llm.shared import few_threads, written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    few_threads(spark)  # the stages have some hundred exchanges
     return toxicity.without_toxic(docs, _table(spark, sf_dir, "labels"))
 
 

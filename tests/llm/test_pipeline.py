@@ -1,5 +1,9 @@
+import subprocess
+import sys
+
 import corpus_pipeline as P
 import pytest
+from conftest import ROOT
 from test_free import words
 from test_native import table
 
@@ -46,3 +50,19 @@ def test_empty_table_and_repeated_rows(spark, folder):
         left = sorted(r.doc_id for r in stage(spark, twice, folder).select("doc_id").collect())
         # Of equal texts one stays, of rows without any text all do.
         assert left == ([1, 2, 304, 304] if name == "near_dedup" else [1, 1, 2, 304, 304]), name
+
+
+def test_exchanges_share_few_threads():
+    """In an application of its own, since the settings are read once."""
+    code = """
+from pyspark.sql import SparkSession, functions as F
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+from cloakspan.llm.shared import few_threads
+few_threads(spark)
+for k in range(40):
+    spark.range(9).groupBy((F.col("id") % 3 + k).alias("x")).count().collect()
+names = [t.getName() for t in spark._jvm.java.lang.Thread.getAllStackTraces().keySet()]
+print("THREADS", sum(n.startswith("shuffle-exchange") for n in names))
+"""
+    said = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=ROOT)
+    assert 1 <= int(said.stdout.split("THREADS")[1]) <= 16
