@@ -115,6 +115,8 @@ def _pair() -> list[Column]:
 SHOWN = 16
 #: So many sets are broadcast at most; beyond it the same join shuffles.
 FEW_SETS = 256
+#: Longs of the parities that tell classes of a crowd apart.
+PARITIES = [f"q{k}" for k in range(8)]
 
 
 def told_apart(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -210,7 +212,25 @@ def set_apart(members: DataFrame) -> DataFrame:
     amid = centred.join(small_enough(written(amid, "amid"), FEW_SETS), ["g", "c"], "left_semi").select("g", F.col("c").alias("p"), F.col("shingles").alias("of_p"), "usual")
     both = members.join(small_enough(written(amid, "amid-sets"), FEW_SETS), "g").withColumn("extra", F.array_except("shingles", "of_p"))
     differs = F.concat(F.array_except("extra", "usual"), F.array_except("of_p", "shingles"), F.array_intersect("extra", "usual"))
-    return both.select("g", "p", "c", "n", "s1", "s2", "root", F.size("of_p").cast("long").alias("n_p"), differs.alias("differs"))
+    told = both.select("g", "p", "c", "n", "s1", "s2", "root", F.size("of_p").cast("long").alias("n_p"), differs.alias("differs"))
+    return told.select("*", _parities().alias("parities")).select("*", "parities.*").drop("parities")
+
+
+def _parities() -> Column:
+    """For each of 512 classes of shingles, whether the number of those in differs is odd, a bit each in columns PARITIES.
+
+    A shingle that one of two classes has and the other hasn't changes one bit, so the bits that differ are no more than those.
+    """
+    at = f"transform(differs, e -> CAST(pmod(xxhash64(e, 1), {64 * len(PARITIES)}) AS int))"
+    start = ", ".join(f"'{q}', 0L" for q in PARITIES)
+    flip = ", ".join(f"'{q}', acc.{q} ^ IF(x div 64 = {k}, shiftleft(1L, x % 64), 0L)" for k, q in enumerate(PARITIES))
+    return F.expr(f"aggregate({at}, named_struct({start}), (acc, x) -> named_struct({flip}))")
+
+
+def _may_link_in_crowd(percent: int) -> Column:
+    """Whether what a and b differ in, of which their parities show a part at least, is little enough; no linked pair is denied."""
+    shown = sum((F.bit_count(F.col(f"a.{q}").bitwiseXOR(F.col(f"b.{q}"))) for q in PARITIES), F.lit(0))
+    return shown * (100 + percent) <= (100 - percent) * (F.col("a.n") + F.col("b.n"))
 
 
 def in_crowds(apart: DataFrame, percent: int) -> DataFrame:
@@ -220,14 +240,15 @@ def in_crowds(apart: DataFrame, percent: int) -> DataFrame:
     |D_i| + |D_j| - 2 |D_i and D_j| <= r (n_i + n_j). A class i that isn't linked to p has |D_i| > r (n_i + n_p), so it
     shares more than s = (|D_j| + r (n_p - n_j)) / 2 with each j that it is linked to: D_i meets any |D_j| - floor(s) of
     D_j. Of two classes that aren't tied one at least isn't tied to p; it is linked to p, which ties it, or is such an i.
+    Those that meet are many, as classes that aren't linked share some of D too; the parities of D deny most of them.
     """
     sized = apart.withColumn("d", F.size("differs").cast("long"))
-    own = ["g", "c", "n", "s1", "s2", "root"]
+    own = ["g", "c", "n", "s1", "s2", "root", *PARITIES]
     loose, to_p = F.col("root") != F.col("g"), F.col("d") * (100 + percent) <= (100 - percent) * (F.col("n") + F.col("n_p"))
     free = sized.where(loose & ~to_p).select(*own, F.explode("differs").alias("e"))
     floor = F.expr(f"(d * {100 + percent} + {100 - percent} * (n_p - n)) div {2 * (100 + percent)}")
     met = sized.select(*own, F.explode(F.slice("differs", F.lit(1), (F.col("d") - floor).cast("int"))).alias("e"))
-    near = (F.col("a.g") == F.col("b.g")) & (F.col("a.e") == F.col("b.e")) & (F.col("a.root") != F.col("b.root")) & _may_link(percent / 100)
+    near = (F.col("a.g") == F.col("b.g")) & (F.col("a.e") == F.col("b.e")) & (F.col("a.root") != F.col("b.root")) & _may_link(percent / 100) & _may_link_in_crowd(percent)
     pairs = free.alias("a").join(met.alias("b"), near).select(*_pair())
     tied = sized.where(loose & to_p).select(F.greatest("c", "p").alias("u"), F.least("c", "p").alias("v"), F.lit(0).cast("int").alias("apart"))
     return pairs.unionByName(tied)

@@ -425,3 +425,17 @@ def test_crowd_of_copies_makes_few_pairs(spark, monkeypatch):
             root[max(top(i), top(j))] = min(top(i), top(j))
     assert found == {i: top(i) for i in root}
     assert counts["pairs"] < 20 * len(docs)
+
+
+def test_classes_of_a_crowd_that_share_what_tells_them_apart_are_not_all_paired(spark):
+    """Copies that lack long, overlapping passages of a text and have a few shingles of their own."""
+    rng, sets = random.Random(9), {0: set(range(120))}
+    for c in range(1, 200):
+        at = rng.randrange(100)
+        sets[c] = set(range(120)) - set(range(at, at + 20)) | {1000 * c + k for k in range(10)}
+    rows = [(0, c, len(x), 0, 0, c, sorted(x)) for c, x in sets.items()]
+    members = spark.createDataFrame(rows, "g long, c long, n long, s1 long, s2 long, root long, shingles array<long>")
+    found = [(r.u, r.v) for r in N.in_crowds(N.set_apart(members), 80).collect()]
+    linked = {(i, j) for (j, a), (i, b) in combinations(sorted(sets.items()), 2) if 100 * len(a & b) >= 80 * len(a | b)}
+    assert linked and linked <= set(found)
+    assert len(set(found)) < 2 * len(linked) < len(sets) ** 2 / 4
