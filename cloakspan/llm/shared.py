@@ -9,6 +9,7 @@ from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 from functools import lru_cache
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,11 +68,34 @@ def few_threads(spark: SparkSession) -> None:
             own.setConfString(key, n)
 
 
+def trimmed(spark: SparkSession) -> str | None:
+    """Gives what the driver's JVM has freed outside its heap back to the system; what the JVM says of it, None where it can't.
+
+    Compiling plans and threads take such memory, and the C library keeps what they free. It takes some milliseconds.
+    """
+    jvm, new = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+
+    def array(kind, items: list):
+        out = new(kind, len(items))
+        for k, x in enumerate(items):
+            out[k] = x
+        return out
+
+    try:
+        of, bean = jvm.java.lang.Class.forName, jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        types = [of(x) for x in ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")]
+        invoke = of("javax.management.MBeanServer").getMethod("invoke", array(jvm.java.lang.Class, types))
+        return invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), array(jvm.java.lang.Object, [bean, "systemTrimNativeHeap", None, None]))
+    except Py4JError:  # not all JVMs have the command
+        return None
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: cuts the lineage and survives lost executors."""
     spark, path = df.sparkSession, new_folder(df.sparkSession, name)
     with cleaned(spark):
         df.write.parquet(path)
+    trimmed(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out.cloakspan_folder = path
     return out

@@ -7,6 +7,8 @@ from conftest import ROOT
 from test_free import words
 from test_native import table
 
+from cloakspan.llm import shared as S
+
 
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
@@ -66,3 +68,10 @@ print("THREADS", sum(n.startswith("shuffle-exchange") for n in names))
 """
     said = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=ROOT)
     assert 1 <= int(said.stdout.split("THREADS")[1]) <= 16
+
+
+def test_memory_that_the_driver_has_freed_is_given_back(spark, monkeypatch):
+    said, real = [], S.trimmed
+    monkeypatch.setattr(S, "trimmed", lambda session: said.append(real(session)))
+    assert S.written(spark.range(3), "few").count() == 3
+    assert said and "Trim native heap" in said[0]
