@@ -44,15 +44,19 @@ def _begin(i: str, size: str, length: str, parts: int) -> str:
     return f"IF({i} < {(parts + 1) // 2}, {size} * {i}, {length} - {size} * ({parts} - {i}))"
 
 
-def _one_segment_keys(line: str, length: str, edits: int, sizes: list[str] | None = None) -> Column:
-    """Keys of single segments, of which two lines within `edits` edits share one that is the own one of either. sizes: columns of _sizes(), if there are some."""
+def _one_segment_keys(line: str, length: str, edits: int, sizes: list[str] | None = None, unit: int = 1) -> Column:
+    """Keys of single segments, of which two lines within `edits` edits share one that is the own one of either.
+
+    sizes: columns of _sizes(), if there are some. unit: 4 if line is in UTF-32, of four bytes a code point, where a
+    segment is found without counting all that is before it.
+    """
     parts, keys = edits + 1, []
     sizes = sizes or _sizes(length, edits, parts)
     for n, size in enumerate(sizes):
         for i, d in _moves(edits):
             begin = f"({_begin(str(i), size, length, parts)} + {d})"
             other = f"{size} <> {sizes[0]} AND " if n else ""
-            keys.append(f"IF({other}{begin} >= 0 AND {begin} + {size} <= {length}, xxhash64({size}, {i}, substring({line}, {begin} + 1, {size})), NULL)")
+            keys.append(f"IF({other}{begin} >= 0 AND {begin} + {size} <= {length}, xxhash64({size}, {i}, substring({line}, {begin} * {unit} + 1, {size} * {unit})), NULL)")
     return F.array_distinct(F.array_compact(F.array(*map(F.expr, keys))))
 
 
@@ -136,6 +140,17 @@ def _rare(grams: str, leader: str, edits: int) -> Column:
     return F.array_union(F.slice(ordered, 1, touched + 1), few)
 
 
+def of_like_length(found: DataFrame, edits: int) -> tuple[DataFrame, DataFrame]:
+    """The bands of lengths in which keys have more lines than one, and the rows of found (k, length and others) that have such a band, as tables.
+
+    A line is in the band of its length and in the next one: lines of a key whose lengths differ by `edits` at most share
+    a band, so no line that may be near to another one of the key goes.
+    """
+    banded = found.withColumn("band", F.explode(F.expr(f"array(length div {edits + 1}, length div {edits + 1} + 1)")))
+    bands = written(banded.groupBy("k", "band").agg(F.count("*").alias("m")).where("m > 1").drop("m"), "bands")
+    return bands, written(banded.join(small_enough(bands), ["k", "band"], "left_semi").drop("band", "length").distinct(), "segments")
+
+
 def repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """key, text_hash, gone: for each row (by id and text) that has some, the numbers (from 0) of its repeated lines.
 
@@ -150,14 +165,16 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = 20, id_
     first = F.min(F.struct("key", "text_hash", "at")).alias("first")
     long = F.char_length("line") >= min_chars
     # The segments of all lines come first, few keys a line; only lines that share a segment with another line are read again.
-    keys = F.when(F.col("length") >= min_chars, _one_segment_keys("line", "length", edits, ["z0", "z1", "z2"])).alias("keys")
+    keys = F.when(F.col("length") >= min_chars, _one_segment_keys("wide", "length", edits, ["z0", "z1", "z2"], unit=4)).alias("keys")
     # The sizes are columns of their own, since each key uses them several times.
-    sized = placed.withColumn("length", F.char_length("line")).withColumns({f"z{n}": F.expr(x) for n, x in enumerate(_sizes("length", edits, edits + 1))})
-    each = sized.select("key", "text_hash", "at", *hashed, keys)
-    distinct = written(each.groupBy("h1", "h2").agg(first, F.first("keys").alias("keys")), "lines")
-    segments = distinct.select("h1", "h2", F.explode("keys").alias("k"))
+    wide = placed.withColumn("wide", F.encode("line", "UTF-32")).withColumn("length", F.expr("octet_length(wide) div 4").cast("int"))
+    sized = wide.withColumns({f"z{n}": F.expr(x) for n, x in enumerate(_sizes("length", edits, edits + 1))})
+    each = sized.select("key", "text_hash", "at", "length", *hashed, keys)
+    distinct = written(each.groupBy("h1", "h2").agg(first, F.first("length").alias("length"), F.first("keys").alias("keys")), "lines")
+    segments = distinct.select("h1", "h2", "length", F.explode("keys").alias("k"))
     shared = written(segments.groupBy("k").agg(F.count("*").alias("n")).where("n > 1"), "segments")
-    kept = written(segments.join(small_enough(shared), "k"), "segments")
+    found = written(segments.join(small_enough(shared), "k"), "segments")
+    bands, kept = of_like_length(found, edits)
     suspects = small_enough(written(kept.select("h1", "h2").distinct(), "suspects"), BROADCAST_ROWS // 4)
     wanted = placed.where(long).select("key", "text_hash", "at", "line", *hashed).join(suspects, ["h1", "h2"])
     wanted = wanted.groupBy("h1", "h2").agg(F.first("line").alias("line"), first).withColumn("length", F.char_length("line"))
@@ -166,7 +183,7 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = 20, id_
     # ks: those of the line's keys that aren't crowded.
     of_line = kept.groupBy("h1", "h2").agg(F.collect_list(F.when(F.col("n") <= CROWD, F.col("k"))).alias("ks"))
     keyed = written(kept.join(wanted.select("h2", *marks), ["h1", "h2"]).join(of_line, ["h1", "h2"]).select("k", "n", F.struct(*marks).alias("b"), "ks"), "keyed")
-    deleted(shared, kept)
+    deleted(shared, found, bands, kept)
 
     def measured(pairs: DataFrame) -> DataFrame:
         """late: of each late line the likeliest pair is measured first, and the others where that is too far."""
@@ -203,7 +220,7 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = 20, id_
     linked = written(found.select(F.col("late").alias("h1")).distinct().join(wanted.select("h1", "h2"), "h1").withColumn("linked", F.lit(True)), "linked")
     deleted(keyed, in_crowds, grams, rare, pairs, wanted)
 
-    verdict = distinct.drop("keys").join(linked, ["h1", "h2"], "left")
+    verdict = distinct.drop("keys", "length").join(linked, ["h1", "h2"], "left")
     here = F.struct("key", "text_hash", "at")
     gone = placed.select("key", "text_hash", "at", *hashed).join(verdict, ["h1", "h2"]).where(F.col("linked") | (here != F.col("first")))
     return written(gone.groupBy("key", "text_hash").agg(F.collect_set("at").alias("gone")), "gone")

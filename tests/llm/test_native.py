@@ -322,3 +322,28 @@ def test_signature_never_denies_edits(spark):
     )
     flat = signed.select(*[F.struct(f"{c}.first", f"{c}.length", f"{c}.s.*").alias(c) for c in "xy"])
     assert flat.where(~LD._may_be_near("x", "y", 3)).count() == 0
+
+
+def test_lines_that_share_a_segment_but_not_their_length_are_not_read_again(spark, monkeypatch):
+    """Only those of a key whose lengths differ by the edits at most may be near."""
+    rng, begin, counts, real = random.Random(5), "a passage that all lines begin with, ", {}, LD.written
+    tail = lambda n: "".join(rng.choice("abcdefgh ä😀") for _ in range(n))
+    lines = [begin + tail(n - len(begin)) for n in (98, 106, 113)]
+    docs = [(k, x) for k, x in enumerate(lines)] + [(10, lines[0][:70] + "#" + lines[0][72:])]
+
+    def counted(df, name):
+        out = real(df, name)
+        counts[name] = out.count()
+        return out
+
+    monkeypatch.setattr(LD, "written", counted)
+    gone = {r.key: r.gone for r in LD.repeated_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert gone == {10: [0]}
+    assert counts["suspects"] == 2
+
+
+@pytest.mark.parametrize("text", ["plain letters, as many as it takes", "ä and 😀 among the letters of it, too"])
+def test_keys_are_the_same_segments_in_utf_32(spark, text):
+    df = spark.createDataFrame([(text,)], "a string").selectExpr("a", "char_length(a) AS n", "encode(a, 'UTF-32') AS w")
+    narrow, wide = df.select(LD._one_segment_keys("a", "n", 3), LD._one_segment_keys("w", "n", 3, unit=4)).first()
+    assert len(narrow) == len(wide) > 3
