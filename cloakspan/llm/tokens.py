@@ -77,20 +77,19 @@ class _Memory:
         self.late: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
 
-    def unknown(self, words: Iterable[str]) -> list[str]:
-        """Those of the distinct words that aren't remembered; the others are among the late ones afterwards."""
-        late, before, out = self.late, self.before, []
-        for w in words:
-            if w not in late:
-                if (found := before.get(w)) is None:
-                    out.append(w)
-                else:
-                    late[w] = found
-        return out
+    def unknown(self, words: Iterable[str]) -> set[str]:
+        """Those of the words that aren't remembered; the others are among the late ones afterwards."""
+        out = set(words).difference(self.late)
+        new = out.difference(self.before)
+        back = out.difference(new)
+        self.late.update(zip(back, map(self.before.__getitem__, back), strict=True))
+        return new
 
     def forget(self) -> None:
         if len(self.late) >= REMEMBERED:
-            self.late, self.before = {}, {w: x for w, x in self.late.items() if len(w) <= LONGEST}
+            for w in [w for w in self.late if len(w) > LONGEST]:
+                del self.late[w]
+            self.late, self.before = {}, self.late
 
 
 class WordEncoder:
@@ -125,7 +124,7 @@ class WordEncoder:
         self.merges = PairMerges(model["vocab"], model["merges"], self.letters, model["end_of_word_suffix"] or "")
         self.words, self.parts = _Memory(), _Memory()
 
-    def _learn_parts(self, parts: list[str]) -> None:
+    def _learn_parts(self, parts: Iterable[str]) -> None:
         late, by_size = self.parts.late, {}
         for part in parts:
             size = len(part) if part.isascii() else len(part.encode())
@@ -140,7 +139,7 @@ class WordEncoder:
             for part in same:
                 late[part] = np.array([x.id for x in self.tokenizer.model.tokenize("".join([self.letters[b] for b in part.encode()]))], "<u4").tobytes()
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: Iterable[str]) -> None:
         """Words of other than plain characters, or with marks of special tokens."""
         for word in words:
             self.words.late[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import sys
 import tracemalloc
 import zlib
 from itertools import combinations
@@ -439,3 +440,20 @@ def test_classes_of_a_crowd_that_share_what_tells_them_apart_are_not_all_paired(
     linked = {(i, j) for (j, a), (i, b) in combinations(sorted(sets.items()), 2) if 100 * len(a & b) >= 80 * len(a | b)}
     assert linked and linked <= set(found)
     assert len(set(found)) < 2 * len(linked) < len(sets) ** 2 / 4
+
+
+def test_remembered_words_are_looked_up_without_a_step_each():
+    memory, steps = K._Memory(), []
+    memory.late, memory.before = {f"l{k}": b"" for k in range(500)}, {f"b{k}": b"x" for k in range(500)}
+
+    def traced(frame, event, arg):
+        steps.append(event)
+        return traced
+
+    sys.settrace(traced)
+    try:
+        found = memory.unknown({"new", *memory.late, *memory.before})
+    finally:
+        sys.settrace(None)
+    assert set(found) == {"new"} and memory.late["b7"] == b"x" and len(memory.late) == 1000
+    assert len(steps) < 50
